@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, langid, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1,
+        "op3_decontamination": decontaminate.op3,
         "op5_simhash_dedup": simhash.op5,
+        "op6_host_quality": quality.op6,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontamination": decontaminate.OP3_SQL,
+        "op6_host_quality": quality.OP6_SQL,
+    }
