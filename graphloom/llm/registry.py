@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, simhash
+from . import chat, decontaminate, langid, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1,
+        "op2_chat_formatting": chat.op2,
         "op3_decontamination": decontaminate.op3,
+        "op4_source_mixing": mixing.op4,
         "op5_simhash_dedup": simhash.op5,
         "op6_host_quality": quality.op6,
+        "op9_ring_sharding": sharding.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_formatting": chat.OP2_SQL,
         "op3_decontamination": decontaminate.OP3_SQL,
+        "op4_source_mixing": mixing.OP4_SQL,
         "op6_host_quality": quality.OP6_SQL,
     }
