@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, quality, sharding, simhash
+from . import chat, decontaminate, langid, mixing, quality, sharding, simhash, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4,
         "op5_simhash_dedup": simhash.op5,
         "op6_host_quality": quality.op6,
+        "op8_toxicity": toxicity.op8,
         "op9_ring_sharding": sharding.op9,
+        "op10_token_files": tokenfiles.op10,
     }
 
 
