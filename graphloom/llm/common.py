@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +45,25 @@ def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this subpackage's modules, once a context, so that they need not have them installed."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # the driver serves the file from here to the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/graphloom_llm.zip", "w") as z:
+        z.writestr("graphloom/__init__.py", "")
+        for f in sorted(top.glob("*.py")):
+            z.write(f, f"graphloom/llm/{f.name}")
+    context.addPyFile(f"{folder}/graphloom_llm.zip")
+    context._graphloom_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with short batches, so that a batch of long texts stays within an executor's Python memory."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 

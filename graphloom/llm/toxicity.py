@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words (runs of letters and digits) and their first five bytes. The terms that the labels depend on
+Terms are the lower-cased words (runs of letters and digits) and their first four and five bytes. The terms that the labels depend on
 most (chi-square over the examples, ``max_terms`` at most) make the vector space; weights are (1 + log tf) log(1 + N / df) with
 df over all documents, vectors have length one.
 
@@ -43,8 +43,8 @@ def terms_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every term of lower-cased texts."""
     w = Words(raw, off, _BREAK)
     whole = span_hashes(raw, w.start, w.end)
-    head = span_hashes(raw, w.start, np.minimum(w.end, w.start + 5))
-    return np.concatenate([whole, mix(head + np.uint64(1))]), np.concatenate([w.row, w.row])
+    heads = [mix(span_hashes(raw, w.start, np.minimum(w.end, w.start + n)) + np.uint64(n)) for n in (4, 5)]
+    return np.concatenate([whole, *heads]), np.concatenate([w.row] * 3)
 
 
 @dataclass
