@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, quality, sharding, simhash, tokenfiles, toxicity
+from . import chat, decontaminate, langid, linededup, mixing, quality, sharding, simhash, tokenfiles, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4,
         "op5_simhash_dedup": simhash.op5,
         "op6_host_quality": quality.op6,
+        "op7_line_dedup": linededup.op7,
         "op8_toxicity": toxicity.op8,
         "op9_ring_sharding": sharding.op9,
         "op10_token_files": tokenfiles.op10,
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontaminate.OP3_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
         "op6_host_quality": quality.OP6_SQL,
+        "op7_line_dedup": linededup.OP7_SQL,
     }
