@@ -199,6 +199,29 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "coverage")
 
 
+def drop_unknown(docs: DataFrame, filters: Filters, min_coverage: float = 0.2) -> DataFrame:
+    """Rows of docs, all columns, that have a letter and whose language holds at least min_coverage of their n-grams.
+
+    Without any learned language nothing but rows without a letter goes.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        for b in batches:
+            raw, off = binary(b.column(place).cast(pa.string()))
+            keep = np.zeros(b.num_rows, bool)
+            for lo, hi in steps(off):
+                h, row, has = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                keep[lo:hi] = has
+                if f.langs:
+                    c, total = f.counts(h, row, hi - lo)
+                    keep[lo:hi] &= c.max(axis=1) >= min_coverage * total
+            yield b.filter(pa.array(keep))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))

@@ -70,6 +70,25 @@ def mix(docs: DataFrame, seed: int = 0, cut: str = "word", weights: tuple[int, .
     return placed.select("doc_id", "source", "key", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
 
 
+def sample(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, small: int = 4096) -> DataFrame:
+    """The mixed corpus: rows of docs, all columns, as often as the mix takes them (whole documents, key order).
+
+    A source's cut is one key: rows up to it get one epoch more. So documents meet a row a source and their texts aren't
+    shuffled while there are at most ``small`` sources; with more, the join is left to the optimiser.
+    """
+    mixed = scratch(mix(docs, seed, "document", weights, share, cap), "mix-taken")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    more = mixed.withColumn("_epochs", epochs).where("size > 0")
+    cuts = more.groupBy(F.col("source").alias("_source")).agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("taken") > F.col("_epochs") * F.col("size"), F.col("key"))).alias("_cut"))
+    cuts = scratch(cuts, "mix-cuts")
+    if cuts.count() <= small:
+        cuts = F.broadcast(cuts)
+    keyed = docs.withColumn("_key", digest_key(F.col("doc_id").cast("long"), F.lit(seed)))
+    joined = keyed.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    copies = F.when(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)) > 0, F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)).otherwise(0)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -27,6 +27,7 @@ from .ranks import digest_key
 SHARDS = 24
 VIRTUAL = 128
 CELLS = 1 << 14
+COLUMNS = ("doc_id", "size", "text_crc32", "key", "shard", "slot")
 
 
 def nodes(shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
@@ -86,23 +87,23 @@ def walk(counts: dict[int, int], shards: int, virtual: int = VIRTUAL, slack: flo
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, key, cell of every row."""
+def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns keep and doc_id, size, text_crc32, key, cell of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("key", digest_key(F.col("doc_id"), F.col("text_crc32")))
     return rows.withColumn("cell", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 2))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack: float = 0.0) -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot of every row."""
-    rows = scratch(keyed(docs), "shard-rows")
+def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, key, shard, slot of every row, and the columns keep (not named as these)."""
+    rows = keyed(docs, list(keep)) if keep else scratch(keyed(docs, []), "shard-rows")
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # CELLS rows at most
     table = docs.sparkSession.createDataFrame(walk(counts, shards, virtual, slack), "_cell int, _lo long, _hi long, shard int, _slot long")
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "doc_id", "size", "text_crc32")) - 1
     ranked = rows.withColumn("_rank", rank)
     placed = ranked.join(F.broadcast(table), (F.col("cell") == F.col("_cell")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return placed.select("doc_id", "size", "text_crc32", "key", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    return placed.select("doc_id", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "size", "text_crc32", "key", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

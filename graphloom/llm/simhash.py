@@ -52,15 +52,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, chunk: int = 1 << 15
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of every row."""
+    """doc_id, text_hash, fp (64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
+            texts = b.column(2).cast(pa.large_binary())
             fp = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), F.col("text").cast("string")), run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _syndromes(half: np.ndarray) -> np.ndarray:
@@ -219,14 +223,23 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of all rows reachable by links)."""
+    """doc_id, text_hash, fp, root (of the component), component_id (smallest doc_id of all rows reachable by links)."""
     rows = scratch(fingerprints(docs), "simhash-rows")
     distinct = scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "simhash-distinct")
     star = connected_components(links(distinct, threshold))
     named = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows of docs, all columns: of each component the document with the smallest doc_id, one row of it."""
+    found = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root", "doc_id").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
+    rows = docs.withColumn("_text_hash", _text_hash())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
