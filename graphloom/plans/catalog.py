@@ -20,6 +20,7 @@ STAR3 = ((0, 1, 0, 0, 1), (0, 2, 0, 0, 2), (0, 3, 0, 1, 3))
 SQUARE = ((0, 1, 0, 0, 1), (1, 2, 1, 1, 2), (2, 3, 2, 0, 3), (3, 0, 3, 1, 0))
 SHAPES = {"path2": PATH2, "path3": PATH3, "triangle": TRIANGLE, "star3": STAR3, "square": SQUARE}
 PARTS = 4
+BOUND = 8
 TEXT_CODES = [dfscode.format_code(c) for c in SHAPES.values()]
 
 
@@ -146,8 +147,8 @@ def queries() -> dict:
         "int_ext_supports": lambda s, d: support.local_supports(path2(s, d), parts(s, d)[0]).select("part_id", "pos", "internal", "external"),
         "upper_bound_support": lambda s, d: support.bounds(path2(s, d), parts(s, d)[0]).select("upper"),
         "lower_bound_support": lambda s, d: support.bounds(path2(s, d), parts(s, d)[0]).select("lower"),
-        "exact_vs_bounds": lambda s, d: support.decide(path2(s, d), parts(s, d)[0], 50),
-        "possible_in_part": lambda s, d: support.possible_in_part(path2(s, d), parts(s, d)[0], 50, PARTS),
+        "exact_vs_bounds": lambda s, d: support.decide(path2(s, d), parts(s, d)[0], BOUND),
+        "possible_in_part": lambda s, d: support.possible_in_part(path2(s, d), parts(s, d)[0], BOUND, PARTS),
         "cut_edges": lambda s, d: partitioned.cut_edges(*parts(s, d)),
         "ghost_vertices": lambda s, d: partitioned.ghosts(*parts(s, d)),
         "ladjp_rows": lambda s, d: (lambda v, e: partitioned.local_rows(v, graph.clean_edges(e)))(*parts(s, d)).select("file", "owner", "vid", "label", F.size("adjacent").cast("long").alias("n_arcs")),
@@ -158,8 +159,8 @@ def queries() -> dict:
         "code_order": lambda s, d: _code_rows(s).select(F.explode("code").alias("e")).distinct().withColumn("key", scalars.growth_order(F.col("e"))).select(
             F.col("e.i").alias("i"), F.col("e.j").alias("j"), F.col("e.edge_label").alias("edge_label"), F.col("e.to_label").alias("to_label"), F.col("key.kind").alias("kind"), F.col("key.place").alias("place")
         ),
-        "scalar_parsing": lambda s, d: s.createDataFrame([(x,) for x in ("12", " 12", "-3", "1e3", "x_1", "NA", "99999999999", "")], "c string").select(
-            "c", scalars.try_int(F.trim("c")).alias("as_int"), scalars.try_unsigned(F.col("c")).alias("as_unsigned"), scalars.try_double(F.col("c")).alias("as_double"), scalars.is_na(F.col("c")).alias("na"), scalars.is_symbol(F.col("c")).alias("symbol")
+        "scalar_parsing": lambda s, d: s.createDataFrame([(x,) for x in ("12", " 12", "-3", "2.5", "x_1", "NA", "99999999999", "")], "c string").select(
+            "c", F.coalesce(scalars.try_unsigned(F.trim("c")).cast("string"), F.lit("-")).alias("as_unsigned"), F.coalesce(scalars.try_double(F.col("c")), F.lit(-1.0)).alias("as_double"), F.size(scalars.split_fields(F.col("c"))).alias("n_fields"), scalars.is_na(F.col("c")).alias("na"), scalars.is_symbol(F.col("c")).alias("symbol")
         ),
     }
     for name in fixtures.GRAPHS:
@@ -259,8 +260,8 @@ def oracle_sql() -> dict[str, str]:
         "int_ext_supports": skip(local + " SELECT part_id, pos, count(*) FILTER (own) AS internal, count(*) FILTER (NOT own) AS external FROM loc GROUP BY 1, 2"),
         "upper_bound_support": skip(sums + f" SELECT {upper} AS upper"),
         "lower_bound_support": skip(sums + f" SELECT {lower} AS lower"),
-        "exact_vs_bounds": skip(sums + f" SELECT *, CASE WHEN lower >= 50 THEN 'frequent' WHEN upper < 50 THEN 'infrequent' ELSE 'counted' END AS verdict FROM (SELECT {lower} AS lower, {upper} AS upper, {exact} AS support)"),
-        "possible_in_part": skip(local + f" SELECT max(n) AS largest FROM (SELECT part_id, max(n) AS n FROM (SELECT part_id, pos, count(*) AS n FROM loc GROUP BY 1, 2) GROUP BY 1) WHERE n >= {50 // PARTS}"),
+        "exact_vs_bounds": skip(sums + f" SELECT *, CASE WHEN lower >= {BOUND} THEN 'frequent' WHEN upper < {BOUND} THEN 'infrequent' ELSE 'counted' END AS verdict FROM (SELECT {lower} AS lower, {upper} AS upper, {exact} AS support)"),
+        "possible_in_part": skip(local + f" SELECT max(n) AS largest FROM (SELECT part_id, max(n) AS n FROM (SELECT part_id, pos, count(*) AS n FROM loc GROUP BY 1, 2) GROUP BY 1) WHERE n >= {BOUND // PARTS}"),
         "cut_edges": skip("SELECT e.src, e.dst, e.elabel, a.part_id AS src_part, b.part_id AS dst_part FROM raw_edges e JOIN vertices a ON e.src = a.vid JOIN vertices b ON e.dst = b.vid WHERE a.part_id <> b.part_id"),
         "ghost_vertices": skip("SELECT DISTINCT a.part_id, b.vid, b.label, b.part_id AS owner FROM arcs x JOIN vertices a ON x.src = a.vid JOIN vertices b ON x.dst = b.vid WHERE a.part_id <> b.part_id"),
         "ladjp_rows": skip(", p AS (SELECT a.part_id AS sp, b.part_id AS dp, x.src, x.dst FROM arcs x JOIN vertices a ON x.src = a.vid JOIN vertices b ON x.dst = b.vid) SELECT v.part_id AS file, v.part_id AS owner, v.vid, v.label, (SELECT count(*) FROM p WHERE p.src = v.vid) AS n_arcs FROM vertices v UNION ALL SELECT dp, sp, src, any_value(v.label), count(*) FROM p JOIN vertices v ON p.src = v.vid WHERE sp <> dp GROUP BY dp, sp, src"),
@@ -269,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "code_parse": f"SELECT text, CAST(k AS BIGINT) AS k, i, j, e AS edge_label FROM {table}",
         "node_count": f"SELECT text, CAST(list_max(list_transform(regexp_extract_all(text, '\\((\\d+) (\\d+)', 2), lambda x: CAST(x AS INT))) + 1 AS INT) AS n_nodes FROM {codes}".replace("list_max(list_transform(regexp_extract_all(text, '\\((\\d+) (\\d+)', 2), lambda x: CAST(x AS INT)))", "greatest(list_max(list_transform(regexp_extract_all(text, '\\((\\d+) (\\d+)', 2), lambda x: CAST(x AS INT))), list_max(list_transform(regexp_extract_all(text, '\\((\\d+) (\\d+)', 1), lambda x: CAST(x AS INT))))"),
         "code_order": f"SELECT DISTINCT i, j, e AS edge_label, b AS to_label, CAST(i < j AS INT) AS kind, CASE WHEN i < j THEN -i ELSE j END AS place FROM {table}",
-        "scalar_parsing": "SELECT c, TRY_CAST(trim(c) AS INT) AS as_int, CASE WHEN TRY_CAST(c AS BIGINT) >= 0 AND c NOT LIKE '%e%' THEN TRY_CAST(c AS BIGINT) END AS as_unsigned, TRY_CAST(c AS DOUBLE) AS as_double, c IN ('NA', 'na', 'N/A', 'n/a') AS na, regexp_matches(c, '^[A-Za-z_][A-Za-z0-9_]*$') AS symbol FROM (VALUES ('12'), (' 12'), ('-3'), ('1e3'), ('x_1'), ('NA'), ('99999999999'), ('')) AS t(c)",
+        "scalar_parsing": "SELECT c, coalesce(CASE WHEN regexp_matches(trim(c), '^[0-9]+$') THEN trim(c) END, '-') AS as_unsigned, coalesce(TRY_CAST(c AS DOUBLE), -1.0::DOUBLE) AS as_double, CAST(len(trim(c)) > 0 AS INT) AS n_fields, c IN ('NA', 'na', 'N/A', 'n/a') AS na, regexp_matches(c, '^[A-Za-z_][A-Za-z0-9_]*$') AS symbol FROM (VALUES ('12'), (' 12'), ('-3'), ('2.5'), ('x_1'), ('NA'), ('99999999999'), ('')) AS t(c)",
         "l1_frequent_edges": skip(f", f AS ({one}) SELECT * FROM f WHERE support >= {share(20)}"),
     }
     for name in fixtures.GRAPHS:
