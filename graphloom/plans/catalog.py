@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dfscode, scalars
-from ..operators import extend, graph, partitioned, support
+from ..operators import extend, graph, partitioned, stars, support
 from ..sources import readers, writers
 from . import fixtures
 from .miner import frequent_arcs, mine, single_edge_codes
@@ -108,6 +108,15 @@ def _code_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t,) for t in TEXT_CODES], "text string").withColumn("code", scalars.code_from_text(F.col("text")))
 
 
+def _level1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of all one-edge patterns, numbered by their labels."""
+    roots = extend.forward_roots(_arcs(spark, sf_dir, "skip"))
+    return roots.select((F.col("src_label") * 100 + F.col("elabel") * 10 + F.col("dst_label")).alias("pattern"), F.col("src").alias("v0"), F.col("dst").alias("v1"))
+
+
+HUB_LEAVES = [(0, 10), (0, 11), (1, 12)]
+
+
 def queries() -> dict:
     skip = lambda s, d: _arcs(s, d, "skip")
     parts = lambda s, d: fixtures.graph(s, d, "skip", PARTS)
@@ -149,6 +158,13 @@ def queries() -> dict:
         "lower_bound_support": lambda s, d: support.bounds(path2(s, d), parts(s, d)[0]).select("lower"),
         "exact_vs_bounds": lambda s, d: support.decide(path2(s, d), parts(s, d)[0], BOUND),
         "possible_in_part": lambda s, d: support.possible_in_part(path2(s, d), parts(s, d)[0], BOUND, PARTS),
+        "bounds_per_pattern": lambda s, d: support.decide(_level1(s, d), parts(s, d)[0], minsup(s, d, 15)),
+        "possible_per_pattern": lambda s, d: support.possible_in_part(_level1(s, d), parts(s, d)[0], minsup(s, d, 15), PARTS),
+        "false_positives": lambda s, d: (lambda e, v, n: support.bounds(e, v).where(F.col("upper") >= n).join(support.support(e).where(F.col("support") >= n), "pattern", "left_anti").select("pattern", "upper"))(_level1(s, d), parts(s, d)[0], minsup(s, d, 15)),
+        "find_arcs": lambda s, d: graph.find_arcs(skip(s, d), fixtures.graph(s, d, "skip")[1].where("elabel = 1")),
+        "contains_pattern": lambda s, d: s.createDataFrame([(k, extend.contains(skip(s, d), c)) for k, c in (("square", SQUARE), ("absent", ((0, 1, 99, 0, 99),)))], "pattern string, found boolean"),
+        "has_ghosts": lambda s, d: s.createDataFrame([(partitioned.has_ghosts(*parts(s, d)),)], "found boolean"),
+        "mni_hub_star": lambda s, d: stars.star_support(_arcs(s, d, "trade"), 0, HUB_LEAVES),
         "cut_edges": lambda s, d: partitioned.cut_edges(*parts(s, d)),
         "ghost_vertices": lambda s, d: partitioned.ghosts(*parts(s, d)),
         "ladjp_rows": lambda s, d: (lambda v, e: partitioned.local_rows(v, graph.clean_edges(e)))(*parts(s, d)).select("file", "owner", "vid", "label", F.size("adjacent").cast("long").alias("n_arcs")),
@@ -225,6 +241,10 @@ def oracle_sql() -> dict[str, str]:
         .replace("SELECT DISTINCT r.part_id, pos, vid", "SELECT DISTINCT r.part_id, CAST(pos AS INT) AS pos, x.vid, o.part_id = r.part_id AS own").replace("USING (vid)", "ON x.vid = o.vid") + ")"
     sums = local + ", b AS (SELECT pos, sum(i) AS i, sum(n) AS n FROM (SELECT part_id, pos, count(*) FILTER (own) AS i, count(*) AS n FROM loc GROUP BY 1, 2) GROUP BY pos)"
     lower, upper = "(SELECT CAST(min(i) AS BIGINT) FROM b)", "(SELECT CAST(min(n) AS BIGINT) FROM b)"
+    one_by = ", e1 AS (SELECT src_label * 100 + elabel * 10 + dst_label AS pattern, src AS v0, dst AS v1 FROM arcs WHERE src_label <= dst_label), l1 AS (SELECT DISTINCT r.part_id, x.pattern, x.pos, x.vid, o.part_id = r.part_id AS own FROM (SELECT pattern, v0 AS root, unnest([0, 1]) AS pos, unnest([v0, v1]) AS vid FROM e1) x JOIN vertices r ON x.root = r.vid JOIN vertices o ON x.vid = o.vid), c1 AS (SELECT part_id, pattern, pos, count(*) FILTER (own) AS i, count(*) AS n FROM l1 GROUP BY 1, 2, 3), b1 AS (SELECT pattern, CAST(min(i) AS BIGINT) AS lower, CAST(min(n) AS BIGINT) AS upper FROM (SELECT pattern, pos, sum(i) AS i, sum(n) AS n FROM c1 GROUP BY 1, 2) GROUP BY 1), s1 AS (SELECT pattern, least(count(DISTINCT v0), count(DISTINCT v1)) AS support FROM e1 GROUP BY 1)"
+    bar = share(15)
+    hub = " JOIN ".join(f"arcs a{k}" + (" ON " + " AND ".join([f"a{k}.src = a0.src"] + [f"a{k}.dst <> a{m}.dst" for m in range(k)]) if k else "") for k in range(len(HUB_LEAVES)))
+    hub_where = " AND ".join(f"a{k}.elabel = {e} AND a{k}.dst_label = {b}" for k, (e, b) in enumerate(HUB_LEAVES))
     exact = "(SELECT least(count(DISTINCT v0), count(DISTINCT v1), count(DISTINCT v2)) FROM m)"
     used = lambda n: "".join(f" AND a.dst <> m.v{k}" for k in range(n))
     codes = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TEXT_CODES)) + ") AS c(n, text)"
@@ -262,6 +282,13 @@ def oracle_sql() -> dict[str, str]:
         "lower_bound_support": skip(sums + f" SELECT {lower} AS lower"),
         "exact_vs_bounds": skip(sums + f" SELECT *, CASE WHEN lower >= {BOUND} THEN 'frequent' WHEN upper < {BOUND} THEN 'infrequent' ELSE 'counted' END AS verdict FROM (SELECT {lower} AS lower, {upper} AS upper, {exact} AS support)"),
         "possible_in_part": skip(local + f" SELECT max(n) AS largest FROM (SELECT part_id, max(n) AS n FROM (SELECT part_id, pos, count(*) AS n FROM loc GROUP BY 1, 2) GROUP BY 1) WHERE n >= {BOUND // PARTS}"),
+        "bounds_per_pattern": skip(one_by + f" SELECT pattern, lower, upper, support, CASE WHEN lower >= {bar} THEN 'frequent' WHEN upper < {bar} THEN 'infrequent' ELSE 'counted' END AS verdict FROM b1 JOIN s1 USING (pattern)"),
+        "possible_per_pattern": skip(one_by + f" SELECT pattern, max(n) AS largest FROM (SELECT pattern, part_id, max(n) AS n FROM c1 GROUP BY 1, 2) WHERE n >= {bar} // {PARTS} GROUP BY 1"),
+        "false_positives": skip(one_by + f" SELECT pattern, upper FROM b1 JOIN s1 USING (pattern) WHERE upper >= {bar} AND support < {bar}"),
+        "find_arcs": skip("SELECT a.* FROM arcs a WHERE EXISTS (SELECT 1 FROM raw_edges e WHERE e.elabel = 1 AND e.src = a.src AND e.dst = a.dst)"),
+        "contains_pattern": skip(f"SELECT 'square' AS pattern, EXISTS ({match_sql(SQUARE)}) AS found UNION ALL SELECT 'absent', false"),
+        "has_ghosts": skip("SELECT EXISTS (SELECT 1 FROM arcs WHERE src % 4 <> dst % 4) AS found"),
+        "mni_hub_star": fixtures.graph_sql("trade") + f"SELECT least(count(DISTINCT a0.src), {', '.join(f'count(DISTINCT a{k}.dst)' for k in range(len(HUB_LEAVES)))}) AS support FROM {hub} WHERE a0.src_label = 0 AND {hub_where}",
         "cut_edges": skip("SELECT e.src, e.dst, e.elabel, a.part_id AS src_part, b.part_id AS dst_part FROM raw_edges e JOIN vertices a ON e.src = a.vid JOIN vertices b ON e.dst = b.vid WHERE a.part_id <> b.part_id"),
         "ghost_vertices": skip("SELECT DISTINCT a.part_id, b.vid, b.label, b.part_id AS owner FROM arcs x JOIN vertices a ON x.src = a.vid JOIN vertices b ON x.dst = b.vid WHERE a.part_id <> b.part_id"),
         "ladjp_rows": skip(", p AS (SELECT a.part_id AS sp, b.part_id AS dp, x.src, x.dst FROM arcs x JOIN vertices a ON x.src = a.vid JOIN vertices b ON x.dst = b.vid) SELECT v.part_id AS file, v.part_id AS owner, v.vid, v.label, (SELECT count(*) FROM p WHERE p.src = v.vid) AS n_arcs FROM vertices v UNION ALL SELECT dp, sp, src, any_value(v.label), count(*) FROM p JOIN vertices v ON p.src = v.vid WHERE sp <> dp GROUP BY dp, sp, src"),
