@@ -35,6 +35,7 @@ PER_LABEL = 2000
 MAX_TERMS = 2048
 NEIGHBOURS = 16
 BLOCK = 64
+_FIRST_BLOCKS, _AT_ONCE = 6, 16
 MIN_CHI = 12.0
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -84,17 +85,19 @@ class Index:
         self.vectors = [vectors[i] for i in order]
         n_blocks = -(-len(order) // BLOCK)
         self.peak = np.zeros((len(space.terms), n_blocks))
-        self.row = np.full((n_blocks, len(space.terms)), -1, np.int32)
-        self.postings: list[np.ndarray] = []
+        self.row = np.zeros((n_blocks, len(space.terms)), np.int32)  # of the term's list in the block; the first is empty
+        postings, n_lists = [np.zeros((1, BLOCK))], 1
         for b in range(n_blocks):
             own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
             here = np.unique(np.concatenate([t for t, _ in own]))
-            self.row[b, here] = np.arange(len(here))
+            self.row[b, here] = n_lists + np.arange(len(here))
             lists = np.zeros((len(here), BLOCK))
             for j, (t, w) in enumerate(own):
-                lists[self.row[b, t], j] = w
-            self.postings.append(lists)
+                lists[self.row[b, t] - n_lists, j] = w
+            postings.append(lists)
+            n_lists += len(here)
             self.peak[here, b] = lists.max(axis=1)
+        self.lists = np.concatenate(postings)
         total = mass.sum()
         self.rate = float((mass * labels).sum() / total) if total else 0.0
         empty = np.array([not len(t) for t, _ in vectors], bool)
@@ -106,21 +109,22 @@ class Index:
         """The k examples of highest cosine over 0 (ties: in index order) and their cosines."""
         bound = weight @ self.peak[term]
         order = np.argsort(-bound, kind="stable")
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(ids) == k and bound[b] < least - 1e-12):
-                break
-            at = self.row[b, term]
-            got = weight[at >= 0] @ self.postings[b][at[at >= 0]]
-            new = np.flatnonzero(got > 0)
-            new = new[new + b * BLOCK != skip]
-            ids, scores = np.concatenate([ids, new + b * BLOCK]), np.concatenate([scores, got[new]])
-            if len(ids) > k:
-                top = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[top], scores[top]
+        order = order[bound[order] > 0]
+        ids, scores, done = np.zeros(0, np.int64), np.zeros(0), 0
+        while done < len(order):
             least = scores.min() if len(ids) == k else 0.0
-        top = np.lexsort((ids, -scores))
-        return ids[top], scores[top]
+            # the highest bounds first set the bar; then all blocks that may reach it, which raise it no further than needed
+            end = len(order) if done else min(len(order), _FIRST_BLOCKS)
+            some = order[done:end][bound[order[done:end]] >= least - 1e-12]
+            if not len(some):
+                break
+            got = np.concatenate([(weight @ self.lists[self.row[some[i : i + _AT_ONCE, None], term]]).ravel() for i in range(0, len(some), _AT_ONCE)])
+            at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = np.flatnonzero((got > 0) & (got >= least) & (at != skip))
+            ids, scores = np.concatenate([ids, at[new]]), np.concatenate([scores, got[new]])
+            top = np.lexsort((ids, -scores))[:k]
+            ids, scores, done = ids[top], scores[top], end
+        return ids, scores
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.mass[ids]
