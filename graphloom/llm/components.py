@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """edges joined by src with least (src, m, n: the node's rows).
+
+    Nodes with more rows than limit, a 200th of all, are a few hundred at most: they are broadcast, so no hub's rows meet in
+    one task. The others are joined by a shuffle.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("src", "m"))
+    rest = least.where(F.col("n") <= limit).select("src", "m")
+    return edges.join(hubs, "src").unionByName(edges.join(hubs.select("src"), "src", "left_anti").join(rest, "src"))
+
+
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-    return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("dst > src"), least, limit).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     """Edges point from the larger to the smaller node here."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = edges.join(least, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    least = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(edges, least, limit).where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return moved.union(least.select("src", F.col("m").alias("dst"))).distinct()
 
 
@@ -35,7 +46,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for k in range(max_rounds):
         if not seen[0]:
             break
-        edges = scratch(_small_star(_large_star(edges)), f"cc-{k + 1}")
+        limit = max(16, seen[0] // 200)
+        edges = scratch(_small_star(_large_star(edges, limit), limit), f"cc-{k + 1}")
         now = sign(edges)
         if now == seen:
             break
