@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -34,15 +35,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df below the shared folder and reads it again: lineage is cut and survives lost executors."""
+def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df below the shared folder and reads it again: lineage is cut and survives lost executors.
+
+    free: the shuffle files of what has been written are let go now, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "lz4")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def ship(spark: SparkSession) -> None:
