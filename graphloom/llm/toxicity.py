@@ -1,19 +1,18 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-Terms are the lower-cased words (runs of letters and digits) and their first four and five bytes. The terms that the labels depend on
-most (chi-square over the examples, ``max_terms`` at most) make the vector space; weights are (1 + log tf) log(1 + N / df) with
-df over all documents, vectors have length one.
+Terms are the lower-cased words (runs of letters and digits) and their first four and five bytes. All terms of the examples make
+the vector space, without any selection; weights are (1 + log tf) log(1 + N / df) with df over all documents, vectors have length
+one. A term that no example has adds nothing to any product, so neighbours and their order are those over all terms; the
+length of a text's vector is taken over the terms of the space.
 
-Examples lie in the index in blocks of 64 with like vectors. For each term and block the index knows the largest weight, so a
-query's blocks have upper bounds of its cosine with any of their examples. Blocks are scored from the highest bound down until
-no block can hold one of the k nearest: the neighbours are exact. Votes are weighted by squared cosine, against the rate of
-examples that share no term with the query; a logistic curve, fitted on the examples' own scores with themselves left out, turns
-votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
+For each term the index lists the examples that have it, with their weights. A query adds up the lists of all its terms, so the
+neighbours are exact; the longest lists are rows of a matrix, multiplied for many queries at once. Votes are weighted by squared cosine, against the rate of examples without terms; a logistic curve, fitted on
+the examples' own scores with themselves left out, turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0. The examples are a bounded sample of them: about
 ``per_label`` rows of each label, dealt by a hash of doc_id, and weighted by what each stands for. Null labels and doc_ids
-are not learned from; of several labels of one doc_id the larger counts. Texts that are null, empty or without any such term
-get the score of examples without terms. Without examples of both labels every score is the rate of label 1 (0 without any).
+are not learned from; of several labels of one doc_id the larger counts. Texts that are null, empty or share no term with
+any example get the score of examples without terms. Without examples of both labels every score is the rate of label 1 (0 without any).
 Repeated rows are kept, other columns ignored. Empty tables give no rows.
 """
 
@@ -32,11 +31,8 @@ from .common import map_arrow, read_table, scratch
 from .textvec import Words, binary, mix, span_hashes, steps
 
 PER_LABEL = 2000
-MAX_TERMS = 2048
 NEIGHBOURS = 16
-BLOCK = 64
-_FIRST_BLOCKS, _AT_ONCE = 6, 16
-MIN_CHI = 12.0
+_LONG, _MOST_LONG, _AT_ONCE = 1 / 12, 2048, 128  # share of the examples that makes a list long, long lists, queries together
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -75,29 +71,19 @@ class Space:
 
 
 class Index:
-    """Block-max inverted index over the examples' vectors."""
+    """Inverted index over the examples' vectors: examples and weights of each term, one list after the other."""
 
     def __init__(self, space: Space, ids: list, labels: np.ndarray, mass: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, labels[i], i))
-        order = [i for i in order if len(vectors[i][0])]
+        order = [i for i in range(len(ids)) if len(vectors[i][0])]
         self.space, self.ids = space, [ids[i] for i in order]
         self.labels, self.mass = labels[order].astype(float), mass[order].astype(float)
         self.vectors = [vectors[i] for i in order]
-        n_blocks = -(-len(order) // BLOCK)
-        self.peak = np.zeros((len(space.terms), n_blocks))
-        self.row = np.zeros((n_blocks, len(space.terms)), np.int32)  # of the term's list in the block; the first is empty
-        postings, n_lists = [np.zeros((1, BLOCK))], 1
-        for b in range(n_blocks):
-            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            here = np.unique(np.concatenate([t for t, _ in own]))
-            self.row[b, here] = n_lists + np.arange(len(here))
-            lists = np.zeros((len(here), BLOCK))
-            for j, (t, w) in enumerate(own):
-                lists[self.row[b, t] - n_lists, j] = w
-            postings.append(lists)
-            n_lists += len(here)
-            self.peak[here, b] = lists.max(axis=1)
-        self.lists = np.concatenate(postings)
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in self.vectors)])
+        by_term = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[by_term], np.arange(len(space.terms) + 1))
+        self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by_term]
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[by_term]
+        self.matrix = None
         total = mass.sum()
         self.rate = float((mass * labels).sum() / total) if total else 0.0
         empty = np.array([not len(t) for t, _ in vectors], bool)
@@ -105,26 +91,48 @@ class Index:
         self.usual = float(np.median(mass)) if len(ids) else 1.0
         self.curve = (0.0, 1.0)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": None, "matrix": None}  # executors need the lists only
+
+    def _split(self) -> None:
+        size = np.diff(self.at)
+        rows = np.argsort(-size, kind="stable")[:_MOST_LONG]
+        rows = rows[size[rows] > _LONG * len(self.ids)]
+        self.place = np.full(len(size), -1, np.int32)  # of a long list in the matrix
+        self.place[rows] = np.arange(len(rows))
+        self.matrix = np.zeros((len(rows), len(self.ids)))
+        for i, t in enumerate(rows):
+            self.matrix[i, self.example[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of every query (terms and weights) with every example."""
+        if self.matrix is None:
+            self._split()
+        long = np.zeros((len(queries), len(self.matrix)))
+        short = []
+        for i, (t, w) in enumerate(queries):
+            place = self.place[t]
+            long[i, place[place >= 0]] = w[place >= 0]
+            short.append((t[place < 0], w[place < 0]))
+        out = long @ self.matrix
+        for i, (t, w) in enumerate(short):
+            size = self.at[t + 1] - self.at[t]
+            own = np.repeat(self.at[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[i] += np.bincount(self.example[own], weights=self.weight[own] * np.repeat(w, size), minlength=len(self.ids))
+        return out
+
+    def top(self, cosine: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine over 0 (ties to 12 digits: in index order) and their cosines."""
+        cosine = cosine.round(12)
+        if skip >= 0:
+            cosine[skip] = 0
+        least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+        ids = np.flatnonzero((cosine > 0) & (cosine >= least))
+        ids = ids[np.lexsort((ids, -cosine[ids]))[:k]]
+        return ids, cosine[ids]
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine over 0 (ties: in index order) and their cosines."""
-        bound = weight @ self.peak[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order):
-            least = scores.min() if len(ids) == k else 0.0
-            # the highest bounds first set the bar; then all blocks that may reach it, which raise it no further than needed
-            end = len(order) if done else min(len(order), _FIRST_BLOCKS)
-            some = order[done:end][bound[order[done:end]] >= least - 1e-12]
-            if not len(some):
-                break
-            got = np.concatenate([(weight @ self.lists[self.row[some[i : i + _AT_ONCE, None], term]]).ravel() for i in range(0, len(some), _AT_ONCE)])
-            at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            new = np.flatnonzero((got > 0) & (got >= least) & (at != skip))
-            ids, scores = np.concatenate([ids, at[new]]), np.concatenate([scores, got[new]])
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores, done = ids[top], scores[top], end
-        return ids, scores
+        return self.top(self.cosines([(term, weight)])[0], k, skip)
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.mass[ids]
@@ -133,7 +141,10 @@ class Index:
 
     def calibrate(self, k: int, none: list[tuple[float, float]]) -> None:
         """Logistic curve from votes to labels; none: label and mass of examples without terms."""
-        x = [self.vote(*self.nearest(t, w, k, skip=i)) for i, (t, w) in enumerate(self.vectors)] + [self.none] * len(none)
+        x = []
+        for lo in range(0, len(self.vectors), _AT_ONCE):
+            x += [self.vote(*self.top(c, k, skip=lo + i)) for i, c in enumerate(self.cosines(self.vectors[lo : lo + _AT_ONCE]))]
+        x += [self.none] * len(none)
         y = np.array([*self.labels, *(a for a, _ in none)])
         m = np.array([*self.mass, *(b for _, b in none)])
         if len(y) == 0 or y.min() == y.max():
@@ -167,7 +178,7 @@ def _lower_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return binary(pc.utf8_lower(column))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_fold() != 0))
     known = known.groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -188,41 +199,40 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_term
                 n, r, t = np.diff(np.append(at, len(h))), row[at], h[at].view(np.int64)
                 cut = np.searchsorted(r, np.arange(hi - lo + 1))
                 out += [(t[x:y], n[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([t for t, _ in out], pa.list_(pa.int64())), pa.array([n for _, n in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "n"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([t for t, _ in out], pa.list_(pa.int64())), pa.array([n for _, n in out], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "n"])
 
     # the drawn labels are about 2 x per_label rows, whatever the input: small enough for every executor
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
-    sample = scratch(map_arrow(texts, collect_terms, "doc_id long, toxic int, terms array<long>, n array<long>"), "toxic-sample")
-    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
-    c, d = n1 - a, n0 - b
-    chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * float(max(n1, 1)) * float(max(n0, 1)))
-    best = seen.where("a + b >= 3").where(F.lit(n) > F.col("a") + F.col("b")).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(max_terms)
-    terms = np.sort(np.array([r.term for r in best.select("term").collect()], np.int64).view(np.uint64)) if n0 and n1 else np.zeros(0, np.uint64)
+    sample = scratch(map_arrow(texts, collect_terms, "doc_id long, toxic int, terms array<long>, n array<int>"), "toxic-sample")
+    got = sample.toArrow()  # at most about 2 x per_label examples: an entry for each term of their texts
+    rows_of: dict[int, list[int]] = {}
+    for i, doc_id in enumerate(got["doc_id"].to_pylist()):
+        rows_of.setdefault(doc_id, []).append(i)
+    toxic = got["toxic"].to_numpy()
+    size = dict(zip(*(x.tolist() for x in np.unique(toxic, return_counts=True)), strict=True))
+    lists, tf = (got[c].combine_chunks() for c in ("terms", "n"))
+    off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    flat, tf = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), tf.flatten().to_numpy(zero_copy_only=False)
+    both = len(size) == 2
+    terms = np.unique(flat) if both else np.zeros(0, np.uint64)
     space = Space(terms, np.zeros(len(terms)))
     df, rows = document_frequencies(docs, space)
     space.idf = np.log(1 + rows / np.maximum(df, 1))
 
-    place = {int(t): i for i, t in enumerate(terms.view(np.int64))}
-    chosen = docs.sparkSession.createDataFrame([(t,) for t in place] or [(0,)], "term long")
-    flat = sample.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "n")).alias("x")).select("doc_id", "toxic", F.col("x.terms").alias("term"), F.col("x.n").alias("n")).join(F.broadcast(chosen), "term")
-    of: dict[int, list] = {}
-    for r in flat.collect():  # at most 2 x per_label examples, max_terms terms each
-        of.setdefault(r.doc_id, []).append((place[r.term], r.n)) if r.term in place else None
     ids, ys, mass, vectors = [], [], [], []
-    for r in sample.select("doc_id", "toxic").distinct().orderBy("doc_id").collect():
-        own = sorted(set(of.get(r.doc_id, [])))
-        t = np.array([x for x, _ in own], np.int64)
-        first = np.unique(t, return_index=True)[1] if len(t) else t
-        w = np.array([y for _, y in own], float)[first] if len(t) else np.zeros(0)
-        vectors.append((t[first], space.weights(t[first], w)) if len(t) else (t, w))
-        ids.append(r.doc_id)
-        ys.append(r.toxic)
-        mass.append(totals[r.toxic] / max(1, size[r.toxic]))
+    for doc_id, at in sorted(rows_of.items()):
+        own = np.concatenate([np.arange(off[i], off[i + 1]) for i in at if both] or [np.zeros(0, np.int64)])
+        t, n = np.searchsorted(terms, flat[own]), tf[own]
+        order = np.lexsort((n, t))  # of repeated rows of a doc_id the smaller count
+        t, first = np.unique(t[order], return_index=True)
+        vectors.append((t.astype(np.int32), space.weights(t, n[order][first].astype(float))))
+        ids.append(doc_id)
+        ys.append(int(toxic[at[0]]))
+        mass.append(totals[ys[-1]] / max(1, size[ys[-1]]))
+    del got, lists, flat, tf
     index = Index(space, ids, np.array(ys, float), np.array(mass, float), vectors)
     index.calibrate(k, [(y, m) for y, m, (t, _) in zip(ys, mass, vectors, strict=True) if not len(t)])
+    index.vectors, index.matrix = [], None  # not needed any more, and large
     return index
 
 
@@ -243,10 +253,10 @@ def document_frequencies(docs: DataFrame, space: Space) -> tuple[np.ndarray, int
         seen = np.flatnonzero(df)
         yield pa.record_batch([pa.array(seen), pa.array(df[seen])], names=["term", "n"])
 
-    got = map_arrow(docs.select(F.col("text").cast("string")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = map_arrow(docs.select(F.col("text").cast("string")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(size + 1, np.int64)
-    for r in got:
-        out[r.term] = r.n
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out[:size], int(out[size])
 
 
@@ -263,11 +273,15 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
             for lo, hi in steps(off):
                 row, term, n = ix.space.counts(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, int)
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    i = lo + int(row[x])
-                    ids, cosine = ix.nearest(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float)), k)
-                    out[i] = ix.score(ix.vote(ids, cosine))
-                    near[i], cosines[i] = [ix.ids[j] for j in ids], cosine.tolist()
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                for at in range(0, len(spans), _AT_ONCE):
+                    some = spans[at : at + _AT_ONCE]
+                    found = ix.cosines([(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float))) for x, y in some])
+                    for (x, _), c in zip(some, found, strict=True):
+                        i = lo + int(row[x])
+                        ids, cosine = ix.top(c, k)
+                        out[i] = ix.score(ix.vote(ids, cosine))
+                        near[i], cosines[i] = [ix.ids[j] for j in ids], cosine.tolist()
             yield pa.record_batch([b.column(0), pa.array(out), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "neighbours", "cosines"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, neighbours array<long>, cosines array<double>")

@@ -235,3 +235,44 @@ def test_toxicity(spark, odd, none):
     bare = toxicity.fit(docs, labels.where("1 = 0"))
     assert {r.score for r in toxicity.score(odd, bare).collect()} == {bare.score(bare.none)}
     toxicity.fit(none, labels)
+
+
+def plain_terms(text):
+    out = {}
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+        for t in ((0, w), (4, w[:4]), (5, w[:5])):
+            out[t] = out.get(t, 0) + 1
+    return out
+
+
+def test_toxicity_neighbours_over_all_terms(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    texts = {r.doc_id: plain_terms(r.text) for r in docs.collect()}
+    examples = sorted({r.doc_id for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5})
+    space = {t: i for i, t in enumerate(sorted({t for d in examples for t in texts[d]}))}
+    df = np.array([sum(t in own for own in texts.values()) for t in space])
+    vectors = {}
+    for d, own in texts.items():
+        vectors[d] = np.zeros(len(space))
+        for t, n in own.items():
+            if t in space:
+                vectors[d][space[t]] = (1 + np.log(n)) * np.log(1 + len(texts) / df[space[t]])
+        vectors[d] /= max(np.linalg.norm(vectors[d]), 1e-300)
+    table = np.array([vectors[d] for d in examples])
+    index = toxicity.fit(docs, labels)
+    assert len(index.space.terms) == len(space) and {y for y in index.labels} == {0.0, 1.0}
+    for r in toxicity.score(docs, index).collect():
+        cosine = table @ vectors[r.doc_id]
+        assert np.allclose(r.cosines, np.sort(cosine[cosine > 1e-12])[::-1][:16])
+        assert np.allclose(r.cosines, [cosine[examples.index(d)] for d in r.neighbours])
+
+
+def test_toxicity_finds_words_that_do_not_depend_on_labels(spark):
+    rows = [(i, f"common words w{i} here") for i in range(60)] + [(1000 + i, f"w{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.neighbours[:1] for r in toxicity.score(docs, index).collect()}
+    for i in range(60):
+        if zlib.crc32(str(i).encode()) % 5:
+            assert got[1000 + i] == [i]
