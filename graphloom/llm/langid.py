@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
 One Bloom filter per language, bit-sliced: slot s holds a mask with one bit for each language, so the AND of an n-gram's k
-slots is the set of all languages that contain it, from one lookup. A text's n-grams are popcounted per language; the counts
+slots is the set of all languages that contain it, from one lookup. More than 64 languages take several mask words a slot. A text's n-grams are popcounted per language; the counts
 c of n lookups are corrected for the filter's false positives p, (c - n p) / (1 - p), and the largest decides. The score is
 its share of all corrected counts.
 
@@ -35,7 +35,7 @@ MAX_GRAMS = 1 << 19
 MIN_DF = 3
 KEEP_RATIO = 0.25
 HASHES = 3
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 _GAP = np.uint32(32)
 
 
@@ -86,7 +86,7 @@ def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 @dataclass
 class Filters:
-    """langs in order of their bits; slots: a mask for each slot; rate: false positives of each language."""
+    """langs in order of their bits; slots: for each mask word (64 languages each) a mask for each slot; rate: false positives of each language."""
 
     langs: list[str]
     slots: np.ndarray
@@ -94,10 +94,10 @@ class Filters:
     default: int = 0
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        size = np.uint64(len(self.slots) - 1)
-        out = self.slots[h & size]
+        size = np.uint64(self.slots.shape[1] - 1)
+        out = self.slots[:, h & size]
         for k in range(1, HASHES):
-            out &= self.slots[(h >> np.uint64(20 * k)) & size]
+            out &= self.slots[:, (h >> np.uint64(20 * k)) & size]
         return out
 
     def counts(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ class Filters:
         mask, total = self.masks(h), np.bincount(row, minlength=n)
         out = np.empty((n, len(self.langs)))
         for b in range(len(self.langs)):
-            hit = (mask >> self.slots.dtype.type(b)) & self.slots.dtype.type(1)
+            hit = (mask[b // WORD_BITS] >> self.slots.dtype.type(b % WORD_BITS)) & self.slots.dtype.type(1)
             out[:, b] = np.bincount(row, weights=hit, minlength=n)
         return np.maximum(out - total[:, None] * self.rate, 0) / (1 - self.rate), total
 
@@ -121,9 +121,9 @@ def _remainder():
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> Filters:
     known = learnable(docs)
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Filters([], np.zeros(1 << 10, np.uint8), np.zeros(0))
+        return Filters([], np.zeros((1, 1 << 10), np.uint8), np.zeros(0))
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_docs / sizes[lang]))])
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < share[F.col("lang")]
@@ -158,12 +158,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAM
                 chosen[x["lang"]].append(r["gram"])
     size = 1 << max(12, min(20, int(np.ceil(np.log2(16 * max(1, *map(len, chosen.values()), 1))))))
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
-    slots = np.zeros(size, kind)
+    slots = np.zeros((-(-len(langs) // WORD_BITS), size), kind)
     for b, lang in enumerate(langs):
         h = np.array(chosen[lang], np.int64).view(np.uint64)
         for k in range(HASHES):
-            slots[(h >> np.uint64(20 * k)) & np.uint64(size - 1)] |= kind(1 << b)
-    fill = np.array([((slots >> kind(b)) & kind(1)).mean() for b in range(len(langs))])
+            slots[b // WORD_BITS, (h >> np.uint64(20 * k)) & np.uint64(size - 1)] |= kind(1 << b % WORD_BITS)
+    fill = np.array([((slots[b // WORD_BITS] >> kind(b % WORD_BITS)) & kind(1)).mean() for b in range(len(langs))])
     return Filters(langs, slots, np.minimum(fill**HASHES, 0.99), max(range(len(langs)), key=lambda b: (sizes[langs[b]], -b)))
 
 

@@ -69,6 +69,18 @@ def test_bloom_filters_hold_what_they_were_given(spark):
     assert (filters.rate < 0.05).all() and (total > 0).all()
 
 
+def test_more_than_64_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: letters[n // 26] + letters[n % 26] + "xyq"[n % 3] + letters[n % 26] + letters[n // 26]
+    rows = [(100 * n + i, f"{word(n)} {word(n)}", f"l{n:03}") for n in range(140) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(docs)
+    assert len(filters.langs) == 140 and filters.slots.shape[0] == 3
+    by = {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()}
+    assert all(by[i] == lang for i, _, lang in rows)
+    assert langid.drop_unknown(docs, filters).count() == len(rows)
+
+
 # --- decontamination
 
 
