@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 
 #: Java and DuckDB pattern of a word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-#: Rows of one Arrow batch. Texts are large, so batches stay short; a batch is cut further by bytes in :mod:`textvec`.
-BATCH_ROWS = 256
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,29 +26,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where it is unset (tests), a folder under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return root.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Writes df below the shared folder and reads it again: lineage is cut and survives lost executors.
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries run within let go of their shuffle files when they end. The session's own setting comes back afterwards."""
+    before = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
 
-    free: the shuffle files of what has been written are let go now, not when the driver happens to collect its garbage.
-    """
-    spark = df.sparkSession
+
+def _place(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder below the shared one; it goes when the driver ends, or with :func:`drop`."""
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    fs, place = _place(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Writes df below the shared folder and reads it again: lineage is cut and survives lost executors."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    out._scratch = path
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for t in tables:
+        fs, place = _place(t.sparkSession, t._scratch)
+        fs.delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this subpackage's modules, once a context, so that they need not have them installed."""
     context = spark.sparkContext
@@ -67,10 +89,13 @@ def ship(spark: SparkSession) -> None:
     context._graphloom_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with short batches, so that a batch of long texts stays within an executor's Python memory."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with the subpackage at hand on the executors.
+
+    Spark bounds a batch by rows and by bytes (64 MB); functions cut texts further with :func:`textvec.steps`. No setting of the
+    session is touched, so operators that are built first and run later keep their memory bounds.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 
 
@@ -78,5 +103,14 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def is_empty_text(c) -> F.Column:
-    return c.isNull() | (F.length(c) == 0)
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def null_safe_keys(*columns) -> list[F.Column]:
+    """Two columns for each: a value without nulls and whether it was null, so that joins and windows need no null-safe test."""
+    return [x for c in columns for x in (F.coalesce(c, F.lit(0)), c.isNull())]

@@ -5,53 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop, scratch
 
 
-def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """edges joined by src with least (src, m, n: the node's rows).
+def _step(edges: DataFrame, both: DataFrame, name: str) -> DataFrame:
+    """The least neighbour of each src goes to all neighbours: rows of edges as (dst, least).
 
-    Nodes with more rows than limit, a 200th of all, are a few hundred at most: they are broadcast, so no hub's rows meet in
-    one task. The others are joined by a shuffle.
+    Least neighbours are a written table, so the join is one of two plain shuffles, and a hub's rows are split by the skew-join rule.
     """
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("src", "m"))
-    rest = least.where(F.col("n") <= limit).select("src", "m")
-    return edges.join(hubs, "src").unionByName(edges.join(hubs.select("src"), "src", "left_anti").join(rest, "src"))
+    least = scratch(both.groupBy("src").agg(F.min("dst").alias("m")), f"{name}-least")
+    moved = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return moved, least
 
 
-def _large_star(edges: DataFrame, limit: int) -> DataFrame:
-    both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _with_least(both.where("dst > src"), least, limit).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-
-
-def _small_star(edges: DataFrame, limit: int) -> DataFrame:
-    """Edges point from the larger to the smaller node here."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _with_least(edges, least, limit).where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    return moved.union(least.select("src", F.col("m").alias("dst"))).distinct()
-
-
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of links (src, dst long) that is not its root.
 
-    Each round is two joins and is written to the shared folder; it ends when a round changes nothing. Self links and
-    repeated links are dropped.
+    A round is a large star (every larger neighbour of a node moves to the node's least neighbour or itself) and a small star
+    (every smaller neighbour, and the node, move to the least of them), each written to the shared folder. Rounds go on until
+    one changes nothing, which takes about the logarithm of the nodes. Self links and repeated links are dropped.
     """
-    edges = scratch(
-        links.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc-0"
-    )
-    sign = lambda e: e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(src, dst))"), F.sum(F.expr("pmod(xxhash64(dst, src), 1048576)"))).first()
-    seen = sign(edges)
-    for k in range(max_rounds):
-        if not seen[0]:
-            break
-        limit = max(16, seen[0] // 200)
-        edges = scratch(_small_star(_large_star(edges, limit), limit), f"cc-{k + 1}")
+    down = lambda e: e.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first())
+    edges = scratch(down(links).distinct(), "cc-0")
+    seen, k = sign(edges), 0
+    while seen[0]:
+        k += 1
+        up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = edges.select(F.col("dst").alias("src"), "dst")  # a node is a neighbour of itself; others than dst have a smaller one
+        moved, least = _step(up, edges.unionByName(up).unionByName(own), f"cc-{k}-large")
+        large = scratch(down(moved).distinct(), f"cc-{k}-large")
+        drop(edges, least)
+        moved, least = _step(large, large, f"cc-{k}-small")
+        edges = scratch(down(moved).unionByName(least.select("src", F.col("m").alias("dst"))).distinct(), f"cc-{k}")
+        drop(large, least)
         now = sign(edges)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))

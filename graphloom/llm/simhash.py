@@ -7,9 +7,10 @@ anchor that covers a point within one bit of it (covering radius plus half the t
 anchors), so two halves that differ in two bits meet at the anchor of the point between them. No pair is missed.
 
 Equal fingerprints are collapsed first. At an anchor only a spanning forest of the links is emitted, so a group of n near
-copies gives n - 1 links rather than n squared. An anchor with more than ``bucket_rows`` fingerprints is not held in one
-task: its rows go on as blocks, every two blocks are compared in a task of their own, and no link is lost. Components come
-from alternating large-star and small-star steps on tables in the shared folder.
+copies gives n - 1 links rather than n squared. Anchors with more than about ``bucket_rows`` fingerprints are divided
+further before the shuffle, by five blocks of the other half, of which linked fingerprints share one: no link is lost, and rows
+grow fivefold there, not with the square. Components come from alternating large-star and small-star steps on tables in the shared
+folder.
 
 Null or wordless texts have fingerprint zero and link like any other. Rows with a null doc_id keep their row; a component of
 only such rows has a null component_id. Repeated rows are kept. Other columns are ignored. An empty table gives no rows.
@@ -25,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, n_partitions, scratch
+from .common import map_arrow, n_partitions, null_safe_keys, scratch, spare_name
 from .components import connected_components
 
 SHINGLE = 4
 THRESHOLD = 4
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1 << 16
+#: Place and width of the blocks of 32 bits.
+BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -103,36 +106,35 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph on fps (distinct, unsigned) with links at threshold or fewer bits."""
+    """Links (index, index of the first of its component) of the graph on fps (distinct, unsigned) with links at threshold or fewer bits."""
     left, out = np.arange(len(fps)), []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        root, queue, left = int(left[0]), [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = popcount(fps[left] ^ fps[x]) <= threshold
             if near.any():
                 found = left[near]
-                out += [(int(x), int(y)) for y in found]
+                out += [(root, int(y)) for y in found]
                 queue += found.tolist()
                 left = left[~near]
     return out
 
 
-def _linked(anchor: np.ndarray, fp: np.ndarray, threshold: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal anchors (sorted)."""
-    cuts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+def _linked(cuts: np.ndarray, fp: np.ndarray, threshold: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the groups fp[cuts[i]:cuts[i+1]]."""
     sizes = np.diff(cuts)
     a, b = [], []
-    run_size = np.repeat(sizes, sizes)
+    group, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
     for k in range(1, small):
-        i = np.flatnonzero((anchor[:-k] == anchor[k:]) & (run_size[:-k] <= small)) if len(anchor) > k else np.zeros(0, int)
+        i = np.flatnonzero((group[:-k] == group[k:]) & (size[:-k] <= small)) if len(fp) > k else np.zeros(0, int)
         if not len(i):
             break
         i = i[popcount(fp[i] ^ fp[i + k]) <= threshold]
         a.append(fp[i])
         b.append(fp[i + k])
     for j in np.flatnonzero(sizes > small):
-        own = np.unique(fp[cuts[j] : cuts[j + 1]])
+        own = np.unique(fp[cuts[j] : cuts[j + 1]].view(np.int64)).view(np.uint64)  # the least as Spark orders them comes first
         if pairs := forest(own, threshold):
             p = np.array(pairs)
             a.append(own[p[:, 0]])
@@ -141,105 +143,92 @@ def _linked(anchor: np.ndarray, fp: np.ndarray, threshold: int, small: int = 8)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """anchor, fp for each anchor of either half of each fingerprint."""
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for side, half in enumerate((fp.view(np.uint64) & np.uint64(0xFFFFFFFF), fp.view(np.uint64) >> np.uint64(32))):
+            index, anchor = anchors_of(half)
+            yield pa.record_batch([pa.array(anchor.astype(np.int64) | (side << 32)), pa.array(fp[index])], names=["anchor", "fp"])
+
+
+def hot_anchors(fps: DataFrame, bucket_rows: int) -> DataFrame:
+    """anchor of every anchor with more than about bucket_rows fingerprints, judged by a 64th of them (at most, so that 16 are seen).
+
+    This only chooses the plan: a hot anchor that is missed is compared in one task, with the same links.
+    """
+    share = min(64, max(1, bucket_rows // 16))
+    some = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)
+    return map_arrow(some, replicate, "anchor long, fp long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > bucket_rows).select("anchor")
+
+
+def spread(copies: DataFrame) -> DataFrame:
+    """Copies at hot anchors, each with five keys: the other half's bits in five blocks.
+
+    Linked fingerprints differ in at most four bits of the other half, so one block of theirs is equal.
+    """
+    other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    blocks = [F.lit(k << 7).cast("long") + F.shiftright(other, at).bitwiseAND((1 << width) - 1) for k, (at, width) in enumerate(BLOCKS)]
+    return copies.select("anchor", F.explode(F.array(*blocks)).alias("part"), "fp")
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """src, dst: links that connect all distinct fingerprints (column fp) at threshold or fewer bits; threshold is 4 at most."""
     if threshold > THRESHOLD:
         raise ValueError("the covering is built for at most four differing bits")
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for side, half in enumerate((fp.view(np.uint64) & np.uint64(0xFFFFFFFF), fp.view(np.uint64) >> np.uint64(32))):
-                index, anchor = anchors_of(half)
-                yield pa.record_batch([pa.array(anchor.astype(np.int64) | (side << 32)), pa.array(fp[index])], names=["anchor", "fp"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, fp, hot, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+        """Rows come sorted by anchor and part; the last group of a batch waits for the next batch."""
+        held = [np.zeros(0, np.int64)] * 3
 
-        def rows(src, dst, block):
-            return pa.record_batch([pa.array(src), pa.array(dst), pa.array(block, pa.int64())], names=["src", "dst", "block"])
-
-        def done(anchor, fp):
-            x, y = _linked(anchor, fp.view(np.uint64), threshold)
-            return rows(x.view(np.int64), y.view(np.int64), np.full(len(x), -1))
+        def done(anchor, part, fp):
+            cuts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]), [True]]))
+            x, y = _linked(cuts, fp.view(np.uint64), threshold)
+            return pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["src", "dst"])
 
         for b in batches:
-            anchor = np.concatenate([anchor, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False)])
-            if not len(anchor):
+            if not b.num_rows:
                 continue
-            if hot is not None:  # rows of an anchor too large for one task pass through as blocks
-                n = int(np.searchsorted(anchor, hot, "right"))
-                yield rows(anchor[:n], fp[:n], (passed + np.arange(n)) // bucket_rows)
-                passed += n
-                if n == len(anchor):
-                    anchor, fp = anchor[:0], fp[:0]
-                    continue
-                anchor, fp, hot = anchor[n:], fp[n:], None
-            last = int(np.searchsorted(anchor, anchor[-1], "left"))
-            yield done(anchor[:last], fp[:last])
-            anchor, fp = anchor[last:], fp[last:]
-            if len(anchor) > bucket_rows:
-                hot, passed = anchor[0], len(anchor)
-                yield rows(anchor, fp, np.arange(len(anchor)) // bucket_rows)
-                anchor, fp = anchor[:0], fp[:0]
-        if len(anchor):
-            yield done(anchor, fp)
-
-    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
-
-        def flush():
-            if own:
-                u = np.unique(np.concatenate(own)).view(np.uint64)
-                p = np.array(forest(u, threshold), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(u[p[:, 0]].view(np.int64)), pa.array(u[p[:, 1]].view(np.int64))], names=["src", "dst"])
-
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0), [True]])) if b.num_rows else np.zeros(1, int)
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if key != (this := (cols[0][lo], cols[1][lo], cols[2][lo])):
-                    yield from flush()
-                    key, own = this, []
-                own.append(cols[3][lo:hi].astype(np.int64))
-        yield from flush()
+            anchor, part, fp = held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            same = (anchor == anchor[-1]) & (part == part[-1])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if last:
+                yield done(anchor[:last], part[:last], fp[:last])
+                held = [anchor[last:], part[last:], fp[last:]]
+        if len(held[0]):
+            yield done(*held)
 
     spark = fps.sparkSession
-    copies = map_arrow(fps.select("fp"), replicate, "anchor long, fp long", 16384)
-    dealt = copies.repartition(n_partitions(spark), "anchor").sortWithinPartitions("anchor")
-    found = scratch(map_arrow(dealt, compare, "src long, dst long, block long", 16384), "simhash-links")
-    blocks = found.where("block >= 0").select(F.col("src").alias("anchor"), F.col("dst").alias("fp"), "block")
-    most = blocks.groupBy("anchor").agg(F.max("block").alias("most"))
-    pairs = (
-        blocks.join(most, "anchor")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "most")))
-        .select("anchor", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp")
-        .repartition(n_partitions(spark), "anchor", "lo", "hi")
-        .sortWithinPartitions("anchor", "lo", "hi")
-    )
-    rest = map_arrow(pairs, compare_blocks, "src long, dst long", 16384)
-    return found.where("block < 0").select("src", "dst").union(rest)
-
-
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    copies = map_arrow(fps.select("fp"), replicate, "anchor long, fp long")
+    hot = scratch(hot_anchors(fps, bucket_rows), "simhash-hot")
+    keyed = copies.select("anchor", F.lit(-1).cast("long").alias("part"), "fp")
+    if hot.head(1):
+        keyed = keyed.join(hot, "anchor", "left_anti").select("anchor", "part", "fp").union(spread(copies.join(hot, "anchor", "left_semi")))
+    dealt = keyed.repartition(n_partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")
+    return map_arrow(dealt, compare, "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, text_hash, fp, root (of the component), component_id (smallest doc_id of all rows reachable by links)."""
     rows = scratch(fingerprints(docs), "simhash-rows")
     distinct = scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "simhash-distinct")
-    star = connected_components(links(distinct, threshold))
-    named = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    star = connected_components(links(distinct, threshold, bucket_rows))
+    named = scratch(distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    least = scratch(named.groupBy("root").agg(F.min("doc").alias("component_id")), "simhash-least")
     of_fp = named.join(least, "root").select("fp", "root", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns: of each component the document with the smallest doc_id, one row of it."""
+    """Rows of docs, all columns: of each component the document with the smallest doc_id, one row of it.
+
+    Texts are shuffled once: repeated rows collapse before it, and the kept rows meet them on the same keys.
+    """
     found = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root", "doc_id").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
-    rows = docs.withColumn("_text_hash", _text_hash())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    keys = [spare_name(docs, f"_key{k}") for k in range(3)]
+    kept = scratch(found.groupBy("root", "doc_id").agg(F.min("text_hash").alias("h")).select(*[c.alias(k) for c, k in zip([*null_safe_keys(F.col("doc_id")), F.col("h")], keys, strict=True)]), "simhash-kept")
+    keyed = docs.withColumns(dict(zip(keys, [*null_safe_keys(F.col("doc_id").cast("long")), _text_hash()], strict=True)))
+    return keyed.dropDuplicates(keys).join(kept, keys, "left_semi").select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def test_large_anchor_goes_on_in_blocks(spark):
     fps = list({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(300)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = simhash.connected_components(simhash.links(df, bucket_rows=4)).collect()
+    got = simhash.connected_components(simhash.links(df, bucket_rows=16)).collect()
     label = {f: f for f in signed} | {r.node: r.root for r in got}
     want = classes(fps, list(range(len(fps))))
     assert len({(label[f], w) for f, w in zip(signed, want)}) == len(set(want)) == len(set(label.values()))
