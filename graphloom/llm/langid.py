@@ -8,7 +8,8 @@ its share of all corrected counts.
 N-grams are 3 and 4 letters of the lower-cased text within one word, its two edges included. A language contains an n-gram
 if at least ``min_df`` of its training texts do, and the share of these texts is at least ``keep_ratio`` of that in any other
 language. Filters are fitted on a bounded sample: about ``train_docs`` rows of each language, dealt by a hash of doc_id
-among all rows that may be learned from; they hold at most ``max_grams`` n-grams, so what is broadcast has a fixed size.
+among all rows that may be learned from. All n-grams of the sample count. Bits are set on the executors; the driver gets the
+filters' slots, 16 for each n-gram of the largest language, 2**22 at most (beyond, false positives rise and are corrected for).
 
 A text that is null or has no letter is ``und`` with score 0. If no n-gram of a text is known, the language with most
 training rows is given with score 0 (``und`` if nothing was learned). Ties go to the smaller language code. Rows with a null
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table
+from .common import drop, map_arrow, read_table, scratch
 from .textvec import binary, mix, steps
 
 ORDERS = (3, 4)
 TRAIN_DOCS = 1000
-MAX_GRAMS = 1 << 19
-MIN_DF = 3
+MIN_DF = 2
+SLOT_BITS = (12, 22)
 KEEP_RATIO = 0.25
 HASHES = 3
 WORD_BITS = 64
@@ -119,9 +120,9 @@ def _remainder():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> Filters:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_df: int = MIN_DF, keep_ratio: float = KEEP_RATIO) -> Filters:
     known = learnable(docs)
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not sizes:
         return Filters([], np.zeros((1, 1 << 10), np.uint8), np.zeros(0))
     langs = sorted(sizes)
@@ -146,23 +147,22 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAM
                     yield pa.record_batch([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "df"])
 
     drawn = {r.lang: r.n for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
     by = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, drawn.get(lang, 0))))])
     df = map_arrow(sample, count, "lang string, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
-    kept = df.select("gram", "lang", "df", (F.col("df") / by[F.col("lang")]).alias("rate"))
-    best = kept.groupBy("gram").agg(F.max("rate").alias("best"), F.sort_array(F.collect_list(F.struct("lang", "df", "rate"))).alias("of"))  # one entry a language
-    rows = best.orderBy(F.desc("best"), "gram").limit(max_grams).collect()
-    chosen: dict[str, list[int]] = {lang: [] for lang in langs}
-    for r in rows:
-        for x in r["of"]:
-            if x["rate"] >= KEEP_RATIO * r["best"] and x["df"] >= min(MIN_DF, max(1, drawn[x["lang"]] // 50)):
-                chosen[x["lang"]].append(r["gram"])
-    size = 1 << max(12, min(20, int(np.ceil(np.log2(16 * max(1, *map(len, chosen.values()), 1))))))
+    of = df.groupBy("gram").agg(F.collect_list(F.struct(place[F.col("lang")].alias("bit"), "df", (F.col("df") / by[F.col("lang")]).alias("rate"))).alias("of"))  # one entry a language
+    best = F.array_max(F.transform("of", lambda x: x["rate"]))
+    kept = of.select("gram", F.explode(F.filter("of", lambda x: (x["rate"] >= keep_ratio * best) & (x["df"] >= min_df))).alias("x")).select("gram", "x.bit")
+    kept = scratch(kept, "lang-grams")
+    largest = kept.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    size = 1 << min(max(int(np.ceil(np.log2(16 * largest))), SLOT_BITS[0]), SLOT_BITS[1])
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
+    at = F.explode(F.array(*[F.shiftright("gram", 20 * k).bitwiseAND(size - 1) for k in range(HASHES)]))
+    word, mask = F.floor(F.col("bit") / WORD_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % WORD_BITS).cast("int"))
+    set_bits = kept.select(at.alias("slot"), word.alias("word"), mask.alias("mask")).groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row a slot at most
+    drop(kept)
     slots = np.zeros((-(-len(langs) // WORD_BITS), size), kind)
-    for b, lang in enumerate(langs):
-        h = np.array(chosen[lang], np.int64).view(np.uint64)
-        for k in range(HASHES):
-            slots[b // WORD_BITS, (h >> np.uint64(20 * k)) & np.uint64(size - 1)] |= kind(1 << b % WORD_BITS)
+    slots[set_bits["word"].to_numpy(), set_bits["slot"].to_numpy()] = set_bits["mask"].to_numpy().view(np.uint64).astype(kind)
     fill = np.array([((slots[b // WORD_BITS] >> kind(b % WORD_BITS)) & kind(1)).mean() for b in range(len(langs))])
     return Filters(langs, slots, np.minimum(fill**HASHES, 0.99), max(range(len(langs)), key=lambda b: (sizes[langs[b]], -b)))
 
