@@ -1,12 +1,11 @@
 """Mixing, sharding, line dedup and the pipeline against plain Python."""
 
-import hashlib
 import re
 from collections import Counter
 
 import pytest
 
-from graphloom.llm import decontaminate, linededup, mixing, sharding, simhash
+from graphloom.llm import linededup, mixing, sharding, simhash
 from graphloom.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -140,6 +139,24 @@ def test_lines_against_all_pairs(spark, odd, none):
         assert r.text == "\n".join(t for i, t in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, i) not in want)
 
 
+def test_lines_of_repeated_and_null_doc_ids(spark):
+    """Rows lose their own lines only."""
+    rows = [(7, "x one", 1), (8, "x one\ny two", 2), (8, "p three\nx one", 3), (8, "p three\nx one", 4), (None, "q four\n\nx one", 5), (None, "r five\nq  FOUR", 6), (9, None, 7), (None, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut long").withColumnRenamed("_cut", "_key0")
+    got = {r["_key0"]: r.text for r in linededup.clean(docs, linededup.removed_lines(docs)).collect()}
+    assert got == {1: "x one", 2: "y two", 3: "p three", 4: "p three", 5: "q four\n", 6: "r five", 7: None, 8: None}
+
+
+def test_lines_with_hot_tokens(spark, monkeypatch):
+    """Many lines that share a passage, some alike and some not, with every bucket crowded and with none."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{passage} end{i % 7} a{i} b{i} c{i % 3}\n" + " ".join(f"u{i}x{k}" for k in range(20)) + f" {passage}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (8, 10**9, 0):
+        monkeypatch.setattr(linededup, "CROWDED", crowded)
+        assert sorted((str(r.doc_id), r.line, r.removed) for r in linededup.removed_lines(docs).collect()) == plain_lines(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
@@ -190,4 +207,3 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, k):
 def test_keep_first_of_repeated_rows(odd):
     kept = [r.doc_id for r in simhash.keep_first(odd).collect()]
     assert kept.count(8) == 1 and 1 in kept and 2 not in kept and 3 in kept and 4 not in kept
-    assert decontaminate.THRESHOLD == 0.8 and hashlib
