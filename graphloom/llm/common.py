@@ -69,8 +69,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for t in tables:
-        fs, place = _place(t.sparkSession, t._scratch)
-        fs.delete(place, True)
+        drop_folder(t.sparkSession, t._scratch)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 """Token files by a static range asymmetric numeral system.
 
-One frequency table, shared by all blocks, is made from the counts of all ids: frequencies of at least 1 that sum to 2**20. A
-block is coded by interleaved lanes, id i by lane i mod lanes; a lane's state stays in [2**31, 2**63) and gives or takes 32
+One frequency table, shared by all blocks, is made from the counts of all ids: frequencies of at least 1 that sum to 2**20, or a higher
+power of two where ids are many (:func:`table_bits`). A block is coded by interleaved lanes, id i by lane i mod lanes; a lane's state stays in [2**31, 2**63) and gives or takes 32
 bits at a time. Blocks are independent. Within a block, checkpoints hold all lanes' states and the place in the stream, so a
 reader may start there. A checksum covers the whole block.
 
@@ -23,6 +23,11 @@ _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIQII")
 
 
+def table_bits(symbols: int) -> int:
+    """Bits of a table with room for so many symbols, four places a symbol at least."""
+    return max(BITS, min(30, max(symbols, 1).bit_length() + 2))
+
+
 def quantise(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Frequencies that sum to 2**bits, at least 1 where the count is."""
     out = np.zeros(len(counts), np.int64)
@@ -49,6 +54,7 @@ def quantise(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
 class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
+        self.bits = max(int(freq.sum()).bit_length() - 1, 0)
         self.base = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self._symbol: np.ndarray | None = None
 
@@ -62,9 +68,9 @@ class Coder:
         n = len(ids)
         steps = -(-n // lanes)
         f, c = self.freq[ids], self.base[ids]
-        limit = f << np.uint64(63 - BITS)
+        limit = f << np.uint64(63 - self.bits)
         state, words, given, marks = np.full(lanes, _LOW, np.uint64), [], 0, []
-        shift, half, mask = np.uint64(BITS), np.uint64(32), np.uint64(0xFFFFFFFF)
+        shift, half, mask = np.uint64(self.bits), np.uint64(32), np.uint64(0xFFFFFFFF)
         for t in range(steps - 1, -1, -1):
             lo, hi = t * lanes, min(n, (t + 1) * lanes)
             x = state[: hi - lo]
@@ -101,7 +107,7 @@ class Coder:
         first = _HEAD.size + marks * size
         words = np.frombuffer(block, "<u4", (len(block) - 4 - first) // 4, first)
         steps, out = -(-n // lanes), np.empty(n - checkpoint * every * lanes, np.uint32)
-        shift, half, low = np.uint64(BITS), np.uint64(32), np.uint64((1 << BITS) - 1)
+        shift, half, low = np.uint64(self.bits), np.uint64(32), np.uint64((1 << self.bits) - 1)
         symbol, freq, base = self.symbol, self.freq, self.base
         done = 0
         for t in range(checkpoint * every, steps):

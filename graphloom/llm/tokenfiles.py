@@ -7,13 +7,13 @@
    lost tasks and executors harmless. The frequency table lies beside them.
 4. Readers decode blocks in parallel, from the block's start or a checkpoint; starts are prefix sums over block totals.
 
-Null texts are empty: the end id alone. Null doc_ids come first. Equal doc_ids are ordered by their ids. Other columns are
+Ids take 16 or 32 bits on the way, as the vocabulary needs. Null texts are empty: the end id alone. Null doc_ids come first. Equal
+doc_ids are ordered by a hash of their ids and then the ids, so a doc_id with very many rows is split too. Other columns are
 ignored. An empty table gives no blocks. A document's ids must fit one task's memory.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root, map_arrow, n_partitions, read_table
-from .rans import Coder, quantise
-from .textvec import binary, steps
+from .common import drop_folder, map_arrow, n_partitions, new_folder, read_table, shuffles_freed
+from .rans import Coder, quantise, table_bits
+from .textvec import STEP_BYTES, binary, steps
 from .tokens import Encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 18
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[int, Encoder] = {}
 
 
 def public_tokenizer(name: str = TOKENIZER) -> str:
@@ -39,42 +39,56 @@ def public_tokenizer(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(path: str, fast: bool) -> Encoder:
-    if (path, fast) not in _encoders:
-        _encoders[path, fast] = Encoder(path, fast)
-    return _encoders[path, fast]
+def _encoder(config: str) -> Encoder:
+    """A worker's encoder; its table of words lives as long as the worker."""
+    if (key := hash(config)) not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(config)
+    return _encoders[key]
 
 
-def tokenize(docs: DataFrame, path: str, end: int = END_ID, fast: bool = True) -> DataFrame:
-    """doc_id, n, ids (little-endian u16) of every row; ids over 65535 need another width and are refused."""
+def id_type(config: str, end: int) -> str:
+    """numpy type of the ids of a tokenizer (its file's text) and the end id."""
+    from tokenizers import Tokenizer
+
+    most = max([end, *Tokenizer.from_str(config).get_vocab(True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, config: str, end: int = END_ID) -> DataFrame:
+    """doc_id, n, ids (little-endian, of :func:`id_type`) of every row; config is the text of a tokenizer file."""
+    kind = id_type(config, end)
+    shared = docs.sparkSession.sparkContext.broadcast(config)  # a file of a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, fast)
+        encoder = _encoder(shared.value)
         for b in batches:
             raw, off = binary(b.column(1))
             counts, data = [], []
             for lo, hi in steps(off):
                 ids, n = encoder.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end)
-                if len(ids) and ids.max() > 0xFFFF:
-                    raise ValueError("an id does not fit 16 bits")
-                cut = np.concatenate([[0], np.cumsum(n)])
-                bytes_ = ids.astype("<u2").tobytes()
+                ids = ids.astype(kind)
+                cut = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+                bytes_ = ids.tobytes()
                 counts.append(n)
-                data += [bytes_[2 * a : 2 * z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                data += [bytes_[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.record_batch([b.column(0), pa.array(n), pa.array(data, pa.binary())], names=["doc_id", "n", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, ids binary")
 
 
-def count_ids(rows: DataFrame) -> dict[int, int]:
+def count_ids(rows: DataFrame, kind: str) -> dict[int, int]:
     """How often each id comes; the table has a row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             raw, _ = binary(b.column(0))
-            total += np.bincount(raw.view("<u2"), minlength=1 << 16)
+            for lo in range(0, len(raw), STEP_BYTES):
+                n = np.bincount(raw[lo : lo + STEP_BYTES].view(kind))
+                total = np.concatenate([total, np.zeros(max(len(n) - len(total), 0), np.int64)])
+                total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -82,15 +96,19 @@ def count_ids(rows: DataFrame) -> dict[int, int]:
     return {r.id: r.n for r in sums.collect()}
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, block_ids: int = BLOCK_IDS, fast: bool = True) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes path/blocks and path/table; path/ids is a work table."""
     spark = docs.sparkSession
-    tokenize(docs, tokenizer, end, fast).write.option("compression", "zstd").parquet(f"{path}/ids")
+    with open(tokenizer, encoding="utf-8") as f:  # on the driver; executors get the text
+        config = f.read()
+    kind = id_type(config, end)
+    width = np.dtype(kind).itemsize
+    tokenize(docs, config, end).write.option("compression", "zstd").parquet(f"{path}/ids")
     rows = spark.read.parquet(f"{path}/ids")
-    counts = count_ids(rows)
+    counts = count_ids(rows, kind)
     dense = np.zeros(max(counts, default=-1) + 1, np.int64)
     dense[list(counts)] = list(counts.values())
-    freq = quantise(dense)
+    freq = quantise(dense, table_bits(len(counts)))
     spark.createDataFrame([(int(i), int(dense[i]), int(freq[i])) for i in np.flatnonzero(dense)], "id long, n long, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
 
@@ -98,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, block_i
         coder, part, seq, ids, docs_, n, held = Coder(shared.value), 0, 0, [], [], [], 0
 
         def block():
-            data = coder.encode(np.frombuffer(b"".join(ids), "<u2"))
+            data = coder.encode(np.frombuffer(b"".join(ids), kind))
             cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([data], pa.binary())]
             return pa.record_batch(cols, names=["part", "seq", "doc_ids", "doc_tokens", "n_tokens", "block"])
 
@@ -108,17 +126,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, block_i
                 data = b.column(2)[i].as_py()
                 ids.append(data)
                 docs_.append(b.column(1)[i].as_py())
-                n.append(len(data) // 2)
-                held += len(data) // 2
+                n.append(len(data) // width)
+                held += len(data) // width
                 if held >= block_ids:
                     yield block()
                     seq, ids, docs_, n, held = seq + 1, [], [], [], 0
         if docs_:
             yield block()
 
-    dealt = rows.repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    keyed = rows.withColumn("h", F.xxhash64("ids"))
+    dealt = keyed.repartitionByRange(n_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
     schema = "part int, seq long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, block binary"
-    map_arrow(dealt, code, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with shuffles_freed(spark):
+        map_arrow(dealt, code, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    shared.destroy()
+    drop_folder(spark, f"{path}/ids")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +166,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.record_batch(cols, names=["doc_id", "within", "n_tokens", "ids_crc32", "part", "seq"])
 
     schema = "doc_id long, within long, n_tokens long, ids_crc32 long, part int, seq long"
-    out = map_arrow(blocks.select("part", "seq", "doc_ids", "doc_tokens", "block"), run, schema, rows=8)
+    out = map_arrow(blocks.select("part", "seq", "doc_ids", "doc_tokens", "block"), run, schema)
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before("part")), F.lit(0)).alias("_part_base"))  # a row for each sorted partition
@@ -154,6 +176,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     write(read_table(spark, sf_dir, "documents"), path, public_tokenizer())
     return read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

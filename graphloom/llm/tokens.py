@@ -1,22 +1,33 @@
 """Token ids of many texts at once, by the tokenizers library with a table of words already seen.
 
-The tokenizer's split is known (lower-cased runs of letters, single digits, runs of other characters, contractions; white
-space is dropped), so texts are cut into its words by vector operations, and the library's model sees every distinct
-word once per worker. Texts it would treat otherwise (beyond Latin-1, control characters, special tokens) go through the
-whole library. Ids are the library's in either case.
+One kind of split is known here (lower-cased runs of letters, single digits, runs of other characters, contractions; white
+space is dropped). Where a tokenizer file states just this split, texts are cut into its words by vector operations, and the
+library's model sees every distinct word once per worker. A word is looked up by a hash and then compared byte by byte
+with the word that the table holds. Texts that the split would treat otherwise (beyond Latin-1, control characters, special tokens, a word
+whose hash is taken by another) and all texts of other tokenizer files go through the whole library. Ids are the library's in either case.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
 import numpy as np
 
-from .textvec import span_hashes
+from .textvec import chunks, eights, span_hashes
 
 #: Entries of the word table at most; it starts again beyond.
 TABLE_ENTRIES = 1 << 21
+# The normaliser, pre-tokeniser and model settings that the split below reproduces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
 
@@ -40,8 +51,16 @@ def _byte_names() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def has_known_split(config: dict) -> bool:
+    """Whether a tokenizer file's split is the one of this module, and its ids depend on single words only."""
+    model = config.get("model", {})
+    special = all(t["content"].startswith("<|") and not t["normalized"] for t in config.get("added_tokens", []))
+    plain = not config.get("truncation") and not config.get("padding") and model.get("type") == "BPE" and not model.get("dropout")
+    return config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER and special and plain
+
+
 class WordTable:
-    """Open addressing over 64-bit word hashes; values are places in a flat list of ids."""
+    """Open addressing over 64-bit word hashes; values are places in a flat list of ids. Words are kept as chunks of eight bytes."""
 
     def __init__(self) -> None:
         self.reset(1 << 16)
@@ -50,6 +69,32 @@ class WordTable:
         self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.used, self.offsets, self.flat = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.n_ids = 0
+        self.size, self.chunk_at, self.chunk, self.n_chunks = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 13, np.uint64), 0
+
+    def same(self, entry: np.ndarray, view: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the spans are the words of the entries, byte by byte."""
+        out = self.size[entry] == size
+        left, k = np.flatnonzero(out), 0
+        while len(left):
+            equal = self.chunk[self.chunk_at[entry[left]] + k] == chunks(view, start[left], size[left], k)
+            out[left[~equal]] = False
+            k += 1
+            left = left[equal & (size[left] > 8 * k)]
+        return out
+
+    def _keep(self, view: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """The words of entries from used on."""
+        need = -(-size // 8)
+        while self.n_chunks + need.sum() > len(self.chunk):
+            self.chunk = np.concatenate([self.chunk, np.zeros_like(self.chunk)])
+        own = slice(self.used, self.used + len(size))
+        self.size[own], self.chunk_at[own] = size, self.n_chunks + np.cumsum(need) - need
+        left, k = np.arange(len(size)), 0
+        while len(left):
+            self.chunk[self.chunk_at[own][left] + k] = chunks(view, start[left], size[left], k)
+            k += 1
+            left = left[size[left] > 8 * k]
+        self.n_chunks += int(need.sum())
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if it isn't there."""
@@ -80,7 +125,7 @@ class WordTable:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + np.uint64(1)) & mask
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, h: np.ndarray, ids: list[list[int]], view: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         while (self.used + len(h)) * 2 > len(self.keys):
             old = np.flatnonzero(self.keys)
             keys, at = self.keys[old], self.at[old]
@@ -91,7 +136,8 @@ class WordTable:
         while self.n_ids + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.used + len(h) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+            self.offsets, self.size, self.chunk_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.size, self.chunk_at))
+        self._keep(view, start, size)
         self.flat[self.n_ids : self.n_ids + len(flat)] = flat
         self.offsets[self.used + 1 : self.used + 1 + len(h)] = self.n_ids + np.cumsum(lengths)
         self._place(h, np.arange(self.used, self.used + len(h)))
@@ -100,13 +146,13 @@ class WordTable:
 
 
 class Encoder:
-    """Ids of texts with one tokenizer file, whose split is the one above (``fast``) or any other (not ``fast``)."""
+    """Ids of texts with one tokenizer, given as its file's text."""
 
-    def __init__(self, path: str, fast: bool = True):
+    def __init__(self, config: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.fast = Tokenizer.from_file(path), fast
+        self.tokenizer, self.fast = Tokenizer.from_str(config), has_known_split(json.loads(config))
         self.model, self.names, self.table = self.tokenizer.model, _byte_names(), WordTable()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -156,6 +202,7 @@ class Encoder:
 
         words = span_hashes(low, start, end_at)
         words[words == 0] = 1
+        view, size = eights(low), end_at - start
         entry = self.table.find(words)
         if (missing := np.flatnonzero(entry < 0)).size:
             new, at = np.unique(words[missing], return_index=True)
@@ -163,10 +210,14 @@ class Encoder:
                 self.table.reset(1 << 16)
                 new, at = np.unique(words, return_index=True)
                 missing = np.arange(len(words))
-            text, model, names = low.tobytes(), self.model, self.names
-            cuts = zip(start[missing[at]].tolist(), end_at[missing[at]].tolist(), strict=True)
-            self.table.add(new, [[t.id for t in model.tokenize(text[a:b].decode("latin-1").translate(names))] for a, b in cuts])
+            text, model, names, at = low.tobytes(), self.model, self.names, missing[at]
+            cuts = zip(start[at].tolist(), end_at[at].tolist(), strict=True)
+            self.table.add(new, [[t.id for t in model.tokenize(text[a:b].decode("latin-1").translate(names))] for a, b in cuts], view, start[at], size[at])
             entry = self.table.find(words)
+        if not (same := self.table.same(entry, view, start, size)).all():  # another word has the hash
+            slow[row_of[start[~same]]] = True
+            left = ~slow[row_of[start]]
+            start, entry = start[left], entry[left]
         lengths = self.table.offsets[entry + 1] - self.table.offsets[entry]
         row = row_of[start] if len(start) else np.zeros(0, np.int64)
         per_row = np.bincount(row, weights=lengths, minlength=n).astype(np.int64)

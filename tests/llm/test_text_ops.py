@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import chat, decontaminate, langid, quality, rans, tokenfiles, toxicity
+from graphloom.llm import chat, decontaminate, langid, quality, rans, tokenfiles, tokens, toxicity
 from graphloom.llm.textvec import binary
 
 SF = "/root/testdata/sf0.001"
@@ -214,6 +214,45 @@ def test_token_files(spark, odd, none, tmp_path):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_words_of_one_hash_keep_their_ids(weak, monkeypatch):
+    """Ids are the library's though hashes collide."""
+    if weak:
+        real = tokens.span_hashes
+        monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, b: real(raw, a, b) & np.uint64(63))
+    with open(tokenfiles.public_tokenizer(), encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    assert encoder.fast
+    word = thue_morse(2048)
+    texts = [word, word.translate({97: 98, 98: 97}), "", "alpha beta gamma " * 3, "unrelated words, many of them; 12 34", "alphabetical orders aplhabetical", "x" * 9 + " " + "x" * 17 + " " + "x" * 16]
+    for some in (texts, texts[::-1]):
+        ids, n = encoder.encode(*binary(pa.array(some)), 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*own, 1] for own in encoder.whole(some)]
+
+
+def test_other_tokenizer_files(spark, tmp_path):
+    """A file with another split goes through the library; so does one whose ids need 32 bits."""
+    from tokenizers import Tokenizer
+
+    path = tokenfiles.public_tokenizer("byte_bpe_50k.json")
+    big = Tokenizer.from_file(path)
+    big.add_tokens([f"<extra{i}>" for i in range(20_000)])
+    big.save(str(tmp_path / "big.json"))
+    rows = [(i, t) for i, t in enumerate(["Hello  World", "don't <extra19999> x", None, "\u65e5\u672c A\nB"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, file in enumerate((path, str(tmp_path / "big.json"))):
+        tok = Tokenizer.from_file(file)
+        tokenfiles.write(docs, f"{tmp_path}/other{k}", file)
+        got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenfiles.read(spark, f"{tmp_path}/other{k}").collect()}
+        ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
+        assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+    assert max(ids[1]) > 1 << 16
+
+
 # --- toxicity
 
 
