@@ -145,10 +145,37 @@ def test_quality(spark, odd, none):
     assert quality.quality(none).count() == 0
 
 
-def test_bad_host_is_rejected(spark):
-    rows = [(i, "good" if i % 2 else "bad", i % 2 == 0 and i % 10 != 0) for i in range(400)]
-    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, source string, failed boolean"), "failed").collect()
-    assert {r.source: r.host_ok for r in judged} == {"good": True, "bad": False}
+def plain_verdicts(rows, rules, max_rate=0.5, z=1.645):
+    """rows: (host, failed by rule). (host, rule): (trusted, rejected), by plain loops."""
+    out, hosts = {}, sorted({h for h, *_ in rows}, key=str)
+    for k, rule in enumerate(rules):
+        n = {h: sum(r[0] == h for r in rows) for h in hosts}
+        f = {h: sum(r[0] == h and r[1][k] for r in rows) for h in hosts}
+        mean = sum(f.values()) / len(rows)
+        spread = sum(f[h] ** 2 / n[h] for h in hosts) / len(rows) - mean**2 - mean * (1 - mean) * len(hosts) / len(rows)
+        strength = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 0 else 1e6
+        for h in hosts:
+            rate = (f[h] + mean * strength) / (n[h] + strength)
+            margin = z * (rate * (1 - rate) / (n[h] + strength + 1)) ** 0.5
+            out[h, rule] = (rate + margin < mean, rate - margin > mean and rate > max_rate)
+    return out
+
+
+def test_host_verdicts(spark):
+    """A bad host is rejected, a good one trusted with its few failures, documents of the others go by the rules."""
+    plain, piped = "some clean words that make a line of prose\n", "# | some & words | with * marks $ in % them\n"
+    text = lambda host, i: "".join(f"{i} {k} " + (piped if i * 37 % 100 < {"bad": 80, "good": 1, None: 24, "new": 30}[host] else plain) for k in range(8))
+    rows = [(i, h, text(h, i)) for h, n in (("bad", 200), ("good", 400), (None, 200), ("new", 10)) for i in range(n)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    failed = lambda r: [getattr(r, x) for x in quality.RULES]
+    want = plain_verdicts([(r.source, failed(r)) for r in got], list(quality.RULES))
+    assert want["bad", "symbols"] == (False, True) and want["good", "symbols"] == (True, False) and not any(want["new", "symbols"])
+    for r in got:
+        rejected = any(want[r.source, x][1] for x in quality.RULES)
+        lost = any(y and not want[r.source, x][0] for x, y in zip(quality.RULES, failed(r), strict=True))
+        assert (r.host_rejected, r.host_rule_failed) == (rejected, lost) and r.kept == (not r.base_failed and not rejected and not lost)
+    assert {r.kept for r in got if r.source == "bad"} == {False} and {r.kept for r in got if r.source == "good"} == {True}
+    assert {r.kept for r in got if r.source is None} == {True, False}
 
 
 # --- chat
