@@ -163,8 +163,8 @@ def plain_verdicts(rows, rules, max_rate=0.5, z=1.645):
 
 def test_host_verdicts(spark):
     """A bad host is rejected, a good one trusted with its few failures, documents of the others go by the rules."""
-    plain, piped = "some clean words that make a line of prose\n", "# | some & words | with * marks $ in % them\n"
-    text = lambda host, i: "".join(f"{i} {k} " + (piped if i * 37 % 100 < {"bad": 80, "good": 1, None: 24, "new": 30}[host] else plain) for k in range(8))
+    plain, piped = "some clean words that make a line of prose", "# | some & words | with * marks $ in % them"
+    text = lambda host, i: "".join(" ".join(f"{w}{k}" for w in (piped if i * 37 % 100 < {"bad": 80, "good": 1, None: 24, "new": 30}[host] else plain).split()) + "\n" for k in range(8))
     rows = [(i, h, text(h, i)) for h, n in (("bad", 200), ("good", 400), (None, 200), ("new", 10)) for i in range(n)]
     got = quality.quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     failed = lambda r: [getattr(r, x) for x in quality.RULES]
