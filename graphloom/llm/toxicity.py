@@ -5,13 +5,18 @@ the vector space, without any selection; weights are (1 + log tf) log(1 + N / df
 one. A term that no example has adds nothing to any product, so neighbours and their order are those over all terms; the
 length of a text's vector is taken over the terms of the space.
 
-For each term the index lists the examples that have it, with their weights. A query adds up the lists of all its terms, so the
-neighbours are exact; the longest lists are rows of a matrix, multiplied for many queries at once. Votes are weighted by squared cosine, against the rate of examples without terms; a logistic curve, fitted on
-the examples' own scores with themselves left out, turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
+The index is inverted and block-max: examples lie in blocks of alike ones, and for each term and block the largest weight is known. For
+a query the blocks' upper bounds are added up first; the best blocks are scored in full, which gives the k-th cosine so far, and
+then every block whose bound reaches it. Blocks that are passed over can't hold a neighbour, so neighbours are exact. Lists of common
+terms are rows of a matrix, others are postings; queries are scored together.
+
+Votes are weighted by squared cosine, against the rate of examples without terms; a logistic curve, fitted on the examples' own
+scores with themselves left out, turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0. The examples are a bounded sample of them: about
 ``per_label`` rows of each label, dealt by a hash of doc_id, and weighted by what each stands for. Null labels and doc_ids
-are not learned from; of several labels of one doc_id the larger counts. Texts that are null, empty or share no term with
+are not learned from; labels below 0 count as 0, above 1 as 1; of several labels of one doc_id the larger counts, of several
+texts the least in code point order is the example. Texts that are null, empty or share no term with
 any example get the score of examples without terms. Without examples of both labels every score is the rate of label 1 (0 without any).
 Repeated rows are kept, other columns ignored. Empty tables give no rows.
 """
@@ -27,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, scratch
+from .common import drop, map_arrow, read_table, scratch
 from .textvec import Words, binary, mix, span_hashes, steps
 
 PER_LABEL = 2000
 NEIGHBOURS = 16
-_LONG, _MOST_LONG, _AT_ONCE = 1 / 12, 2048, 128  # share of the examples that makes a list long, long lists, queries together
+BLOCK = 64
+_LONG, _MOST_LONG, _AT_ONCE, _SEEDS = 1 / 12, 1024, 64, 3  # share of the examples that makes a list long, long lists, queries together, blocks scored first
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -70,11 +76,16 @@ class Space:
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def _spans(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... of size[0] numbers, then those of the next."""
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
-    """Inverted index over the examples' vectors: examples and weights of each term, one list after the other."""
+    """Block-max inverted index over the examples' vectors: postings of each term by example, and their blocks with the largest weight."""
 
     def __init__(self, space: Space, ids: list, labels: np.ndarray, mass: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        order = [i for i in range(len(ids)) if len(vectors[i][0])]
+        order = self._alike([i for i in range(len(ids)) if len(vectors[i][0])], vectors, len(space.terms))
         self.space, self.ids = space, [ids[i] for i in order]
         self.labels, self.mass = labels[order].astype(float), mass[order].astype(float)
         self.vectors = [vectors[i] for i in order]
@@ -83,6 +94,12 @@ class Index:
         self.at = np.searchsorted(term[by_term], np.arange(len(space.terms) + 1))
         self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by_term]
         self.weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[by_term]
+        self.n_blocks = max(1, -(-len(order) // BLOCK))
+        owner, block = term[by_term], self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])[: len(owner)])
+        self.entry_at = np.searchsorted(owner[first], np.arange(len(space.terms) + 1))  # a term's entries: one for each block it is in
+        self.entry_block, self.entry_lo = block[first], np.append(first, len(owner))
+        self.entry_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.matrix = None
         total = mass.sum()
         self.rate = float((mass * labels).sum() / total) if total else 0.0
@@ -91,35 +108,67 @@ class Index:
         self.usual = float(np.median(mass)) if len(ids) else 1.0
         self.curve = (0.0, 1.0)
 
+    @staticmethod
+    def _alike(order: list[int], vectors: list, n_terms: int) -> list[int]:
+        """Examples by their heaviest common term, then by their heaviest term, so that blocks hold alike ones."""
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)]), minlength=n_terms)
+        common = df > _LONG * len(order)
+        key = lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * common[vectors[i][0]])]), int(vectors[i][0][np.argmax(vectors[i][1])]), i)
+        return sorted(order, key=key)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"vectors": None, "matrix": None}  # executors need the lists only
 
     def _split(self) -> None:
+        """Long lists as a matrix, by block, and their largest weights."""
         size = np.diff(self.at)
         rows = np.argsort(-size, kind="stable")[:_MOST_LONG]
         rows = rows[size[rows] > _LONG * len(self.ids)]
         self.place = np.full(len(size), -1, np.int32)  # of a long list in the matrix
         self.place[rows] = np.arange(len(rows))
-        self.matrix = np.zeros((len(rows), len(self.ids)))
+        self.matrix = np.zeros((self.n_blocks, len(rows), BLOCK))
         for i, t in enumerate(rows):
-            self.matrix[i, self.example[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+            own = slice(self.at[t], self.at[t + 1])
+            self.matrix[self.example[own] // BLOCK, i, self.example[own] % BLOCK] = self.weight[own]
+        self.matrix_max = np.ascontiguousarray(self.matrix.max(axis=2).T)
 
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosine of every query (terms and weights) with every example."""
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """Cosine of every query (terms and weights) with every example that may be among its k nearest; 0 for the others."""
         if self.matrix is None:
             self._split()
-        long = np.zeros((len(queries), len(self.matrix)))
-        short = []
-        for i, (t, w) in enumerate(queries):
-            place = self.place[t]
-            long[i, place[place >= 0]] = w[place >= 0]
-            short.append((t[place < 0], w[place < 0]))
-        out = long @ self.matrix
-        for i, (t, w) in enumerate(short):
-            size = self.at[t + 1] - self.at[t]
-            own = np.repeat(self.at[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out[i] += np.bincount(self.example[own], weights=self.weight[own] * np.repeat(w, size), minlength=len(self.ids))
-        return out
+        n, nb = len(queries), self.n_blocks
+        query = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in queries)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in queries)])
+        place = self.place[term]
+        long = np.zeros((n, self.matrix.shape[1]))
+        long[query[place >= 0], place[place >= 0]] = weight[place >= 0]
+        query, term, weight = query[place < 0], term[place < 0], weight[place < 0]
+        size = self.entry_at[term + 1] - self.entry_at[term]
+        entry = _spans(self.entry_at[term], size)  # of the short lists
+        cell, weight = np.repeat(query * nb, size) + self.entry_block[entry], np.repeat(weight, size)
+        bound = np.bincount(cell, weights=weight * self.entry_max[entry], minlength=n * nb).reshape(n, nb) + long @ self.matrix_max
+        out = np.zeros((n, nb, BLOCK))
+
+        def score(chosen: np.ndarray) -> None:
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                own = np.flatnonzero(chosen[:, b])
+                out[own, b] = long[own] @ self.matrix[b]
+            own = chosen.reshape(-1)[cell]
+            e, lo = entry[own], self.entry_lo[entry[own]]
+            size = self.entry_lo[e + 1] - lo
+            posting = _spans(lo, size)
+            at = np.repeat(cell[own] // nb * (nb * BLOCK), size) + self.example[posting]
+            out.reshape(-1)[:] += np.bincount(at, weights=np.repeat(weight[own], size) * self.weight[posting], minlength=out.size)
+
+        chosen = np.zeros((n, nb), bool)
+        seeds = np.argpartition(-bound, min(_SEEDS, nb) - 1, axis=1)[:, :_SEEDS]
+        np.put_along_axis(chosen, seeds, True, axis=1)
+        score(chosen)
+        flat = out.reshape(n, -1)
+        least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n)
+        score((bound > 0) & (bound >= least[:, None] - 1e-9) & ~chosen)
+        return flat[:, : len(self.ids)]
 
     def top(self, cosine: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine over 0 (ties to 12 digits: in index order) and their cosines."""
@@ -132,7 +181,7 @@ class Index:
         return ids, cosine[ids]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return self.top(self.cosines([(term, weight)])[0], k, skip)
+        return self.top(self.cosines([(term, weight)], k + 1)[0], k, skip)
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.mass[ids]
@@ -143,7 +192,7 @@ class Index:
         """Logistic curve from votes to labels; none: label and mass of examples without terms."""
         x = []
         for lo in range(0, len(self.vectors), _AT_ONCE):
-            x += [self.vote(*self.top(c, k, skip=lo + i)) for i, c in enumerate(self.cosines(self.vectors[lo : lo + _AT_ONCE]))]
+            x += [self.vote(*self.top(c, k, skip=lo + i)) for i, c in enumerate(self.cosines(self.vectors[lo : lo + _AT_ONCE], k + 1))]
         x += [self.none] * len(none)
         y = np.array([*self.labels, *(a for a, _ in none)])
         m = np.array([*self.mass, *(b for _, b in none)])
@@ -180,7 +229,7 @@ def _lower_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_fold() != 0))
-    known = known.groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.greatest(F.least(F.max("toxic"), F.lit(1)), F.lit(0)).alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chance = F.when(F.col("toxic") == 1, min(1.0, per_label / max(1, totals.get(1, 0)))).otherwise(min(1.0, per_label / max(1, totals.get(0, 0))))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < chance).select(F.col("doc_id").alias("_id"), "toxic")
@@ -202,12 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
             yield pa.record_batch([b.column(0), b.column(1), pa.array([t for t, _ in out], pa.list_(pa.int64())), pa.array([n for _, n in out], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "n"])
 
     # the drawn labels are about 2 x per_label rows, whatever the input: small enough for every executor
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an example a label, however often its doc_id comes
     sample = scratch(map_arrow(texts, collect_terms, "doc_id long, toxic int, terms array<long>, n array<int>"), "toxic-sample")
     got = sample.toArrow()  # at most about 2 x per_label examples: an entry for each term of their texts
-    rows_of: dict[int, list[int]] = {}
-    for i, doc_id in enumerate(got["doc_id"].to_pylist()):
-        rows_of.setdefault(doc_id, []).append(i)
     toxic = got["toxic"].to_numpy()
     size = dict(zip(*(x.tolist() for x in np.unique(toxic, return_counts=True)), strict=True))
     lists, tf = (got[c].combine_chunks() for c in ("terms", "n"))
@@ -220,16 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int =
     space.idf = np.log(1 + rows / np.maximum(df, 1))
 
     ids, ys, mass, vectors = [], [], [], []
-    for doc_id, at in sorted(rows_of.items()):
-        own = np.concatenate([np.arange(off[i], off[i + 1]) for i in at if both] or [np.zeros(0, np.int64)])
-        t, n = np.searchsorted(terms, flat[own]), tf[own]
-        order = np.lexsort((n, t))  # of repeated rows of a doc_id the smaller count
-        t, first = np.unique(t[order], return_index=True)
-        vectors.append((t.astype(np.int32), space.weights(t, n[order][first].astype(float))))
+    for doc_id, i in sorted(zip(got["doc_id"].to_pylist(), range(len(toxic)), strict=True)):
+        own = slice(off[i], off[i + 1] if both else off[i])
+        t = np.searchsorted(terms, flat[own])
+        vectors.append((t.astype(np.int32), space.weights(t, tf[own].astype(float))))
         ids.append(doc_id)
-        ys.append(int(toxic[at[0]]))
+        ys.append(int(toxic[i]))
         mass.append(totals[ys[-1]] / max(1, size[ys[-1]]))
     del got, lists, flat, tf
+    drop(sample)
     index = Index(space, ids, np.array(ys, float), np.array(mass, float), vectors)
     index.calibrate(k, [(y, m) for y, m, (t, _) in zip(ys, mass, vectors, strict=True) if not len(t)])
     index.vectors, index.matrix = [], None  # not needed any more, and large
@@ -276,7 +322,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
                 spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 for at in range(0, len(spans), _AT_ONCE):
                     some = spans[at : at + _AT_ONCE]
-                    found = ix.cosines([(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float))) for x, y in some])
+                    found = ix.cosines([(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float))) for x, y in some], k)
                     for (x, _), c in zip(some, found, strict=True):
                         i = lo + int(row[x])
                         ids, cosine = ix.top(c, k)
@@ -290,4 +336,4 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.slice("neighbours", 1, 3).alias("evidence"))
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("neighbours").alias("evidence"), "cosines")

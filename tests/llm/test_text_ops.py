@@ -345,6 +345,18 @@ def test_toxicity_neighbours_over_all_terms(spark):
         assert np.allclose(r.cosines, [cosine[examples.index(d)] for d in r.neighbours])
 
 
+def test_toxicity_labels_and_texts_that_repeat(spark):
+    rows = [(i, f"w{i} common") for i in range(40)] + [(1, "a first text")] * 50 + [(None, "w1"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (-3, 0, 1, 7)[i % 4]) for i in range(40)] + [(3, None), (None, 1), (4, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    learned = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert set(index.ids) == learned and len(index.ids) == len(learned)
+    assert {i: y for i, y in zip(index.ids, index.labels, strict=True)} == {i: float(i % 4 > 1 or i == 4) for i in learned}
+    if 1 in learned:
+        assert toxicity.score(docs.where("text = 'a first text'"), index).first().neighbours[0] == 1
+
+
 def test_toxicity_finds_words_that_do_not_depend_on_labels(spark):
     rows = [(i, f"common words w{i} here") for i in range(60)] + [(1000 + i, f"w{i}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
