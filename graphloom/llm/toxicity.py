@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import drop, map_arrow, read_table, scratch
 from .textvec import Words, binary, mix, span_hashes, steps
 
-PER_LABEL = 2000
+PER_LABEL = 1000
 NEIGHBOURS = 16
 BLOCK = 64
 _LONG, _MOST_LONG, _AT_ONCE, _SEEDS = 1 / 12, 1024, 64, 3  # share of the examples that makes a list long, long lists, queries together, blocks scored first
