@@ -3,14 +3,15 @@
 Words are runs of letters and digits of the lower-cased text; a text's shingles are its windows of five words (an item of
 fewer words is one shingle). An item leaks into a document that holds at least 0.8 of its distinct shingles.
 
-Items are partitioned by size, a partition for each power of two of distinct shingles. MinHash keeps, of each item, the
+Items are partitioned by size, a partition for each power of two of distinct shingles, with an index of its own. MinHash keeps, of each item, the
 shingles with the smallest hashes: a random sample of the item, so the share of it that a document holds estimates the
-containment however long the document is. In a partition of items of up to u shingles the sketch has
-floor((1 - threshold) u) + 1 of them. A document that lacks at most a share (1 - threshold) of an item's shingles cannot lack
-all of these, so every leak becomes a candidate. Candidates are verified by exact containment of the items' word windows.
+containment however long the document is. In a partition of items of up to u shingles the sketch has floor((1 - threshold) u) + 1 + ``EXTRA``
+of them (all, if there are fewer). A document that holds an item to the threshold lacks at most floor((1 - threshold) n) of its n shingles, so
+it meets the rest of the sketch: an item whose estimate is lower is out, and no leak is lost. Candidates are verified by exact
+containment of the items' word windows.
 
-The benchmark is searched in blocks of at most ``block_words`` words, so what is broadcast at once has a fixed size; every
-block is held against all documents.
+The benchmark is searched in blocks of at most ``block_words`` words, repeated items left out before, so what is collected and broadcast at
+once has a fixed size; every block is held against all documents.
 
 Items without words match nothing. Equal items with different ids are reported each, repeated item rows once; a null
 item_id is an item like any other. Documents without words hold nothing; repeated documents are reported each; a null
@@ -34,6 +35,8 @@ from .textvec import Words, binary, shingle_hashes, steps, windows
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCK_WORDS = 1 << 20
+#: Shingles of a sketch beyond those of which one must be met.
+EXTRA = 8
 #: Bytes between words: all of ASCII but letters and digits.
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -44,12 +47,43 @@ def word_windows(low: bytes, n: int) -> list[tuple[bytes, ...]]:
     return list(zip(*(w[k:] for k in range(n)), strict=False))
 
 
+class Partition:
+    """Index of the sketches of items of one size: hash to items, an item's sketch size and how much of it a document must hold."""
+
+    def __init__(self, sketches: list[tuple[int, np.ndarray, int]]):
+        """sketches: item, its smallest hashes, how many of its shingles may be missing."""
+        self.items = np.array([i for i, _, _ in sketches], np.int64)
+        self.size = np.array([len(h) for _, h, _ in sketches], np.int64)
+        self.least = np.maximum(1, self.size - np.array([m for _, _, m in sketches], np.int64))
+        own = np.repeat(np.arange(len(sketches)), self.size)
+        h = np.concatenate([h for _, h, _ in sketches])
+        order = np.argsort(h, kind="stable")
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.at, self.own = np.append(first, len(h)), own[order]
+        self.low = np.zeros(1 << 18, bool)
+        self.low[self.keys >> np.uint64(46)] = True
+
+    def search(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and estimated containment of the candidates among window hashes h of the rows."""
+        maybe = np.flatnonzero(self.low[h >> np.uint64(46)])
+        place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        hit = self.keys[place] == h[maybe]
+        met = np.unique(row[maybe[hit]] * len(self.keys) + place[hit])  # a shingle counts once a row
+        row, key = met // len(self.keys), met % len(self.keys)
+        n = self.at[key + 1] - self.at[key]
+        own = self.own[np.repeat(self.at[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair, found = np.unique(np.repeat(row, n) * len(self.items) + own, return_counts=True)
+        row, own = pair // len(self.items), pair % len(self.items)
+        enough = found >= self.least[own]
+        return row[enough], self.items[own[enough]], found[enough] / self.size[own[enough]]
+
+
 class Items:
-    """Sketches and full shingle sets of a block of items."""
+    """Size partitions and full shingle sets of a block of items."""
 
     def __init__(self, rows: list[tuple], threshold: float, shingle: int):
         self.rows, self.threshold, self.shingle = [], threshold, shingle
-        sketch: dict[int, dict[int, list[int]]] = {}
+        sketches: dict[tuple[int, int], list] = {}
         for item_id, text in dict.fromkeys(rows):
             low = pc.utf8_lower(pa.array([text or ""]))[0].as_py().encode()
             n = min(shingle, len(_WORD.findall(low)))
@@ -58,29 +92,23 @@ class Items:
             grams = frozenset(word_windows(low, n))
             raw = np.frombuffer(low, np.uint8)
             h = np.unique(shingle_hashes(Words(raw, np.array([0, len(raw)]), _BREAK).hashes(None), n))
-            top = (1 << (len(grams).bit_length())) - 1  # the partition's largest size
-            need = int((1 - threshold) * top + 1e-9) + 1
-            for x in h[:need].tolist():  # h is sorted: the smallest hashes
-                sketch.setdefault(n, {}).setdefault(x, []).append(len(self.rows))
+            level = len(grams).bit_length()
+            missing = lambda size: int((1 - threshold) * size + 1e-9)
+            kept = h[: missing((1 << level) - 1) + 1 + EXTRA]  # h is sorted: the smallest hashes
+            sketches.setdefault((n, level), []).append((len(self.rows), kept, missing(len(grams)) + len(grams) - len(h)))
             self.rows.append((item_id, n, grams))
-        self.sketch = {n: (np.array(sorted(of), np.uint64), of) for n, of in sketch.items()}
+        self.partitions = {key: Partition(own) for key, own in sketches.items()}
 
-    def candidates(self, raw: np.ndarray, off: np.ndarray) -> dict[int, set[int]]:
-        """Items whose sketch meets each row of lower-cased texts."""
-        w, out = Words(raw, off, _BREAK), {}
+    def candidates(self, raw: np.ndarray, off: np.ndarray) -> dict[int, list[int]]:
+        """Items that may leak into each row of lower-cased texts, by the index of each size partition."""
+        w, out, hashes = Words(raw, off, _BREAK), {}, {}
         words = w.hashes(None)
-        for n, (keys, of) in self.sketch.items():
-            at, row = windows(w.first, n)
-            if not len(at):
-                continue
-            h = shingle_hashes(words, n)[at]
-            low = np.zeros(1 << 18, bool)
-            low[keys >> np.uint64(46)] = True
-            maybe = np.flatnonzero(low[h >> np.uint64(46)])
-            place = np.searchsorted(keys, h[maybe])
-            hit = maybe[keys[np.minimum(place, len(keys) - 1)] == h[maybe]]
-            for r, x in set(zip(row[hit].tolist(), h[hit].tolist(), strict=True)):
-                out.setdefault(r, set()).update(of[x])
+        for (n, _), partition in self.partitions.items():
+            if n not in hashes:
+                at, row = windows(w.first, n)
+                hashes[n] = (shingle_hashes(words, n)[at] if len(at) else np.zeros(0, np.uint64)), row
+            for r, i, _ in zip(*(x.tolist() for x in partition.search(*hashes[n])), strict=True):
+                out.setdefault(r, []).append(i)
         return out
 
     def leaks(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -99,7 +127,7 @@ class Items:
 
 def blocks(benchmark: DataFrame, threshold: float, shingle: int, block_words: int) -> Iterator[Items]:
     """The benchmark's items, at most about block_words words at a time on the driver."""
-    b = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    b = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     words = b.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-words // (4 * block_words)))
     for k in range(n):
@@ -147,13 +175,13 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-# Every window of five words of every document is looked up among the items' windows.
+# Every window of as many words as an item's shingles have is looked up among the items' windows.
 OP3_SQL = r"""
 WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS k FROM i WHERE len(w) > 0)),
-n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id),
+ig AS (SELECT DISTINCT item_id, least(len(w), 5) AS m, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, m, count(*) AS n FROM ig GROUP BY item_id, m),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-dg AS (SELECT DISTINCT r, doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT *, unnest(range(len(w) - 4)) AS k FROM d WHERE len(w) >= 5)),
-s AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (g) GROUP BY r, doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n - 1e-9
+dg AS (SELECT DISTINCT r, doc_id, m, array_to_string(w[k + 1 : k + m], ' ') AS g FROM (SELECT *, unnest(range(len(w) - m + 1)) AS k FROM d, (SELECT DISTINCT m FROM ig) WHERE len(w) >= m)),
+s AS (SELECT r, doc_id, item_id, m, count(*) AS n_shared FROM dg JOIN ig USING (g, m) GROUP BY r, doc_id, item_id, m)
+SELECT doc_id, s.item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM s JOIN n ON s.item_id IS NOT DISTINCT FROM n.item_id AND s.m = n.m WHERE n_shared >= 0.8 * n - 1e-9
 """

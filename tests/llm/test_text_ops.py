@@ -119,6 +119,27 @@ def test_leaks_odd_rows(spark, odd, none):
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(odd, items.where("1 = 0")).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    """Items of every size, whole, just over and just under the threshold, in one long text; and the SQL on items of fewer than five words."""
+    import duckdb
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 14, 29, 60, 150])]
+    pieces = []
+    for _, text in items:
+        w = text.split()
+        pieces += [w, [word()], w[: max(1, int(0.85 * len(w)))], [word()], w[: len(w) // 2]]
+    docs = [(1, " ".join(x for p in pieces for x in p)), (2, " ".join(word() for _ in range(3000)))] + [(10 + k, " ".join(p)) for k, p in enumerate(pieces)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in decontaminate.find_leaks(df, bench).collect()), key=str)
+    assert got == plain_leaks(docs, items)
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    c.register("benchmark", bench.toPandas())
+    assert sorted([tuple(r[:4]) for r in c.sql(decontaminate.OP3_SQL).fetchall()], key=str) == got
+
+
 # --- quality
 
 
