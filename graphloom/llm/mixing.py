@@ -6,11 +6,12 @@ is shared again by weight among the other sources until none is above.
 
 Documents get hash-random keys. Within a source they are range-sorted by key, prefix sums of their sizes are taken in
 buckets of the key's range, and the source is cut at its exact budget: whole epochs of all its documents, then the documents in key
-order up to the rest, the last of them in part (``cut='word'``) or by the nearer end (``cut='document'``).
+order up to the rest, the last of them in part (:func:`mix`) or by the nearer end (:func:`sample`).
 
-Null or wordless texts have size 0 and are taken 0 words. A null source is a source of its own. Equal keys are ordered by
-doc_id and size; repeated rows are taken as rows of their own. Other columns are ignored by :func:`mix`. A source's hot rows
-are spread over its buckets. An empty table gives no rows.
+Null or wordless texts have size 0 and are taken 0 words. A null source is a source of its own. Keys come from doc_id and text, so rows of
+a null or repeated doc_id are spread over the buckets by their texts; rows that are the same in both are one row with a number of copies
+until they are cut, copy by copy. Other columns are ignored by :func:`mix` and kept by :func:`sample`, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table, scratch
+from .common import WORD, read_table, scratch, spare_name
 from .ranks import BUCKET_ROWS, digest_key, key_bucket, prefix_sums
 
 WEIGHTS = (5, 2, 1)
@@ -51,42 +52,67 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return known.withColumn("target", F.least(F.lit(float(cap)) * F.col("source_size"), F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, seed: int = 0, cut: str = "word", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, source, key, size, source_size, target, taken of every row."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), digest_key(F.col("doc_id"), F.lit(seed)).alias("key")), "mix-rows")
-    by = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size")), weights, share, cap)
+def _size() -> F.Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _key(seed: int) -> F.Column:
+    return digest_key(F.col("doc_id").cast("long"), F.lit(seed), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def _placed(docs: DataFrame, seed: int, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """doc_id, source, key, size, copies, source_size, target, before (words of the source before the first copy), epochs (whole ones), left (words beyond these)."""
+    every = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), _size().alias("size"), _key(seed).alias("key"))
+    rows = scratch(every.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")), "mix-rows").withColumn("words", F.col("size") * F.col("copies"))
+    by = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("words").alias("source_size")), weights, share, cap)
     by = scratch(by.select(F.col("source").alias("_source"), "rows", "source_size", "target"), "mix-targets")
     most = by.agg(F.max("rows")).first()[0] or 0
     known = rows.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     known = known.withColumn("_bucket", key_bucket(F.col("key"), F.ceil(F.col("rows") / BUCKET_ROWS))).drop("rows")
-    placed = prefix_sums(known, "source", "_bucket", ["key", "doc_id", "size"], "size", most // BUCKET_ROWS + 1, "_before")
+    placed = prefix_sums(known, "source", "_bucket", ["key", "doc_id", "size"], "words", most // BUCKET_ROWS + 1, "before")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long") - F.col("_before")
-    if cut == "word":
-        extra = F.greatest(F.lit(0), F.least(left, F.col("size")))
-    else:
-        extra = F.when(F.col("size") <= 2 * left, F.col("size")).otherwise(F.lit(0))
-    return placed.select("doc_id", "source", "key", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
+    left = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
+    return placed.withColumns({"epochs": epochs, "left": left}).drop("words", "_bucket")
+
+
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, taken of every row; the last document of a source is taken in part."""
+    each = _placed(docs, seed, weights, share, cap).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    left = F.col("left") - F.col("before") - F.col("_copy") * F.col("size")
+    extra = F.greatest(F.lit(0), F.least(left, F.col("size")))
+    return each.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def sample(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, small: int = 4096) -> DataFrame:
     """The mixed corpus: rows of docs, all columns, as often as the mix takes them (whole documents, key order).
 
-    A source's cut is one key: rows up to it get one epoch more. So documents meet a row a source and their texts aren't
-    shuffled while there are at most ``small`` sources; with more, the join is left to the optimiser.
+    A source's cut is one key and a number of its copies: rows before it get one epoch more. So documents meet a row a source and
+    their texts aren't shuffled while there are at most ``small`` sources; with more, the join is left to the optimiser. Only
+    where a cut falls between copies are the rows of that key numbered.
     """
-    mixed = scratch(mix(docs, seed, "document", weights, share, cap), "mix-taken")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    more = mixed.withColumn("_epochs", epochs).where("size > 0")
-    cuts = more.groupBy(F.col("source").alias("_source")).agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("taken") > F.col("_epochs") * F.col("size"), F.col("key"))).alias("_cut"))
+    placed = _placed(docs, seed, weights, share, cap).where("size > 0")
+    # a copy goes in if the middle of it lies within what is left: that holds for the first so many
+    more = F.least(F.col("copies"), F.greatest(F.lit(0), F.floor((F.col("left") - F.col("before")) / F.col("size") + 0.5))).cast("long")
+    by = placed.select("source", "epochs", "key", "copies", more.alias("more")).groupBy("source")
+    last = F.max(F.when(F.col("more") > 0, F.struct("key", "more", "copies")))
+    names = {x: spare_name(docs, f"_{x}") for x in ("source", "none", "epochs", "cut", "more", "copies", "key", "n", "at", "copy")}
+    source, none = F.col("source").cast("string"), F.col("source").isNull()
+    cuts = by.agg(F.max("epochs").alias("epochs"), last.alias("last")).select(
+        F.coalesce("source", F.lit("")).alias(names["source"]), none.alias(names["none"]), F.col("epochs").alias(names["epochs"]), F.col("last.key").alias(names["cut"]), F.col("last.more").alias(names["more"]), F.col("last.copies").alias(names["copies"])
+    )
     cuts = scratch(cuts, "mix-cuts")
-    if cuts.count() <= small:
-        cuts = F.broadcast(cuts)
-    keyed = docs.withColumn("_key", digest_key(F.col("doc_id").cast("long"), F.lit(seed)))
-    joined = keyed.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    copies = F.when(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)) > 0, F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
+    col = lambda x: F.col(names[x])
+    between = bool(cuts.where(col("more") < col("copies")).head(1))
+    keyed = docs.withColumns({names["source"]: F.coalesce(source, F.lit("")), names["none"]: none, names["key"]: _key(seed), names["n"]: _size()}).where(col("n") > 0)
+    joined = keyed.join(F.broadcast(cuts) if cuts.count() <= small else cuts, [names["source"], names["none"]])
+    at_cut = col("key").eqNullSafe(col("cut")) & (col("more") < col("copies"))
+    extra = F.when(col("key") <= col("cut"), 1).otherwise(0)
+    rows = joined.withColumn(names["at"], extra)
+    if between:
+        number = F.row_number().over(Window.partitionBy(names["source"], names["none"], names["key"]).orderBy(names["key"]))
+        split = joined.where(at_cut).withColumn(names["at"], F.when(number <= col("more"), 1).otherwise(0))
+        rows = rows.where(~F.coalesce(at_cut, F.lit(False))).unionByName(split)
+    return rows.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(1), (col("epochs") + col("at")).cast("int")))).select(docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -94,7 +120,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(concat_ws(chr(31), CAST(doc_id AS VARCHAR), '0')) AS key,
+WITH d AS (SELECT doc_id, source, md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), ''), '0', md5(coalesce(text, '')))) AS key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY 2 * n / w, source) AS k, CAST(1.5 AS DOUBLE) * sum(n) OVER () AS t, sum(w) OVER () AS ws,

@@ -1,5 +1,6 @@
 """Mixing, sharding, line dedup and the pipeline against plain Python."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -54,11 +55,33 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
 
 
-def test_mixed_rows(spark):
-    docs = docs_of(spark)
-    want = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, cut="document").collect() if r.size}
-    got = Counter(r.doc_id for r in mixing.sample(docs).collect())
-    assert got == Counter({d: n for d, n in want.items() if n})
+def plain_sample(docs, seed=0):
+    """How often each (doc_id, source, text) is taken: whole epochs, then documents in key order while their middles fit."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    rows = [(r.doc_id, r.source, r.text or "", len(WORD.findall(r.text or ""))) for r in docs.collect()]
+    sizes = Counter()
+    for _, s, _, n in rows:
+        sizes[s] += n
+    out = Counter()
+    for s, t in plain_targets(sizes).items():
+        epochs, at = (int(t // sizes[s]) if sizes[s] else 0), 0
+        left = int(t - epochs * sizes[s])
+        own = sorted((md5("\x1f".join(["" if d is None else str(d), str(seed), md5(x)])), d is not None, d or 0, n, x) for d, y, x, n in rows if y == s and n)
+        for _, some, d, n, x in own:
+            out[d if some else None, s, x] += epochs + (2 * (left - at) >= n)
+            at += n
+    return +out
+
+
+def test_mixed_rows(spark, odd):
+    repeated = spark.createDataFrame([(i % 3 if i % 2 else None, f"w{i % 5} " * (3 + i % 5), "h" if i % 4 else None, i) for i in range(400)], "doc_id long, text string, source string, _key long")
+    clash = repeated.withColumns({x: repeated["_key"] for x in ("_source", "_cut", "_epochs", "_copy", "_n")})
+    for docs in (docs_of(spark), odd, repeated, clash):
+        got = mixing.sample(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert Counter((r.doc_id, r.source, r.text) for r in rows) == plain_sample(docs)
+    assert {r["_cut"] for r in rows} <= set(range(400)) and all(r["_cut"] == r["_source"] == r["_key"] for r in rows)
 
 
 def plain_walk(keys, shards, virtual):
