@@ -27,6 +27,17 @@ def growth_key(e: Edge) -> tuple:
     return (0, e[1], e[3], 0) if is_backward(e) else (1, -e[0], e[3], e[4])
 
 
+def edge_key(e: Edge) -> Edge:
+    """Plain order of edges: by ends, then labels."""
+    return e
+
+
+def partial_equal(a: Edge, b: Edge) -> bool:
+    """Same ends and edge label, and vertex labels that agree where neither is left out (-1)."""
+    agree = lambda x, y: x == y or -1 in (x, y)
+    return a[:2] == b[:2] and a[3] == b[3] and agree(a[2], b[2]) and agree(a[4], b[4])
+
+
 def code_key(code: Code) -> tuple:
     """Shorter codes first, then by edges."""
     return (len(code), code)
@@ -56,12 +67,11 @@ def with_placeholders(code: Code) -> Code:
 
 def rightmost_path(code: Code) -> list[int]:
     """Indices of the forward edges from the rightmost vertex back to the root."""
-    path, want = [], None
-    for k in range(len(code) - 1, -1, -1):
-        i, j = code[k][:2]
-        if i < j and (want is None or j == want):
-            path.append(k)
-            want = i
+    found_by = {e[1]: k for k, e in enumerate(code) if is_forward(e)}  # a vertex is found by one forward edge
+    path, at = [], max(found_by, default=0)
+    while at:
+        path.append(found_by[at])
+        at = code[found_by[at]][0]
     return path
 
 
@@ -158,7 +168,10 @@ def parse_code(text: str) -> Code:
 
 
 def candidates(code: Code, triples: set[tuple[int, int, int]], simple: bool = True) -> list[Edge]:
-    """Edges (labels from the frequent triples, both ways) that give a least code when put after the code."""
+    """Edges (labels from the frequent triples, both ways) that give a least code when put after the code.
+
+    simple: no second edge between two vertices; else there may be edges of other labels.
+    """
     have, verts = labels(code), rightmost_vertices(code)
     root_label, last = have[0], verts[0]
     by_label: dict[int, list[tuple[int, int]]] = {}
@@ -169,7 +182,7 @@ def candidates(code: Code, triples: set[tuple[int, int, int]], simple: bool = Tr
         if last in (i, j):
             linked.setdefault(i + j - last, set()).add(e)
     out = []
-    for x in verts[2:]:
+    for x in verts[2 if simple else 1 :]:
         for e, b in by_label.get(have[last], ()):
             if b == have[x] and (x not in linked if simple else e not in linked.get(x, ())):
                 out.append((last, x, have[last], e, b))

@@ -33,22 +33,32 @@ def forward_roots(arcs: DataFrame) -> DataFrame:
     return arcs.where("src_label <= dst_label")
 
 
-def grow(embeddings: DataFrame, arcs: DataFrame, steps: DataFrame, backward: bool) -> DataFrame:
-    """Embeddings of the patterns that steps make of others, forward steps and, if there are any, backward ones.
+def by_src(arcs: DataFrame, parts: int) -> DataFrame:
+    """Arcs as :func:`grow` joins them, hashed by src alone: kept like this, they aren't shuffled again at any level."""
+    return arcs.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("elabel").alias("edge_label"), F.col("dst_label").alias("to_label")).repartition(parts, "_src")
 
-    steps (one row a candidate; broadcast by the optimiser as far as it is small): pattern, child, i, j, edge_label, to_label.
+
+def grow(embeddings: DataFrame, arcs: DataFrame, positions: DataFrame, steps: DataFrame) -> DataFrame:
+    """Embeddings of the patterns that steps make of others.
+
+    arcs: of :func:`by_src`. positions: pattern, i (a vertex that it grows at), nodes (its number of vertices). steps: pattern, child, i, j,
+    edge_label, to_label, a row a candidate. An embedding meets the arcs of a position's image once, whatever the number of candidates
+    there; j is the vertex whose image the arc leads to, or the next one. Candidates are looked up after that.
     """
     n = width(embeddings)
-    vs = [f"v{k}" for k in range(n)]
-    named = embeddings.join(steps, "pattern")
-    a = arcs.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("elabel").alias("edge_label"), F.col("dst_label").alias("to_label"))
-    fwd = named.where("i < j").withColumn("_src", image(F.col("i"), n)).join(a, ["_src", "edge_label", "to_label"]).where(unused(F.col("_dst"), n))
-    place = [F.when(F.col("j") == k, F.col("_dst")).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in range(n)]
-    out = fwd.select(F.col("child").alias("pattern"), *place, F.when(F.col("j") == n, F.col("_dst")).alias(f"v{n}"))
-    if not backward:
-        return out
-    back = named.where("i > j").withColumn("_src", image(F.col("i"), n)).withColumn("_dst", image(F.col("j"), n)).join(a, ["_src", "_dst", "edge_label", "to_label"], "left_semi")
-    return out.unionByName(back.select(F.col("child").alias("pattern"), *vs, F.lit(None).cast("long").alias(f"v{n}")))
+    placed = embeddings.join(positions, "pattern").withColumn("_src", image(F.col("i"), n)).join(arcs, "_src")
+    met = reduce(lambda rest, k: F.when(F.col(f"v{k}") == F.col("_dst"), F.lit(k)).otherwise(rest), range(n), F.col("nodes"))
+    chosen = placed.withColumn("j", met).join(steps, ["pattern", "i", "j", "edge_label", "to_label"])
+    new = F.col("j") == F.col("nodes")
+    cells = [F.when(new & (F.col("j") == k), F.col("_dst")).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in range(n)]
+    return chosen.select(F.col("child").alias("pattern"), *cells, F.when(new & (F.col("j") == n), F.col("_dst")).alias(f"v{n}"))
+
+
+def growth_bound(embeddings: DataFrame, arcs: DataFrame, positions: DataFrame, steps: DataFrame) -> int:
+    """Rows that :func:`grow` makes at most, from the degrees by labels, without making them."""
+    degrees = arcs.groupBy("_src", "edge_label", "to_label").agg(F.count(F.lit(1)).alias("_n"))
+    images = embeddings.join(positions, "pattern").select("pattern", "i", image(F.col("i"), width(embeddings)).alias("_src")).groupBy("pattern", "i", "_src").agg(F.count(F.lit(1)).alias("_m"))
+    return images.join(steps, ["pattern", "i"]).join(degrees, ["_src", "edge_label", "to_label"]).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
 
 
 def pure_forward(embeddings: DataFrame, arcs: DataFrame, code: dfscode.Code) -> DataFrame:

@@ -22,8 +22,8 @@ def arcs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_ids(arcs_: DataFrame) -> DataFrame:
-    """arcs with eid: equal for both directions of an edge (unordered ends and label)."""
-    return arcs_.withColumn("eid", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), "elabel"))
+    """arcs with eid: equal for both directions of an edge and for no others (the triple of its ends and label)."""
+    return arcs_.withColumn("eid", F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "elabel"))
 
 
 def edge_size(arcs_: DataFrame) -> int:

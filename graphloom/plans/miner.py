@@ -1,9 +1,9 @@
 """Frequent-subgraph mining: level by level, all patterns of a level in one job.
 
-On the driver are the codes of the frequent patterns and the next level's candidates: least codes by one frequent edge more.
-On the executors are embeddings. A level joins them with the candidates (small) and the arcs (partitioned by src once), writes
-the embeddings of the next level, and counts distinct images; supports come back, infrequent patterns' embeddings are left
-out of the next join.
+On the driver are the codes of the frequent patterns and the next level's candidates: least codes by one frequent edge more. That
+suits thousands of patterns, not millions. On the executors are embeddings. A level joins them with the arcs (hashed by src once and
+kept so) and looks the candidates up, writes the embeddings of the next level, and counts distinct images; supports come back, infrequent
+patterns' embeddings are left out of the next join.
 """
 
 from __future__ import annotations
@@ -68,10 +68,19 @@ def frequent_arcs(arcs: DataFrame, triples: set[tuple[int, int, int]]) -> DataFr
     return kept if both else kept.where("1 = 0")
 
 
+#: Rows of candidates that are broadcast (a few MB); more are joined as the optimiser sees fit.
+BROADCAST_STEPS = 100_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_STEPS else table
+
+
 def mine(
-    spark: SparkSession, vertices: DataFrame, edges: DataFrame, minsup: int, max_edges: int | None = None, embedding_budget: int | None = None
+    spark: SparkSession, vertices: DataFrame, edges: DataFrame, minsup: int, max_edges: int | None = None, embedding_budget: int | None = None, simple: bool = True
 ) -> Mined:
-    """All frequent patterns with exact supports. max_edges bounds their size; a level with more embeddings than embedding_budget stops with an error."""
+    """All frequent patterns with exact supports. max_edges bounds their size; a level that would have more embeddings than
+    embedding_budget stops with an error before it is made. simple=False also finds patterns with several edges between two vertices."""
     if minsup < 1:
         raise ValueError("minsup must be at least 1")
     began = time.time()
@@ -80,24 +89,28 @@ def mine(
     out = Mined([(((0, 1, *t),), n) for t, n in first.items()], [{"edges": 1, "frequent": len(first), "seconds": time.time() - began}])
     triples = set(first) | {(b, e, a) for a, e, b in first}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    useful = frequent_arcs(arcs, set(first)).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    kept_arcs = frequent_arcs(arcs, set(first))
+    useful = extend.by_src(kept_arcs, parts).persist(StorageLevel.MEMORY_AND_DISK)
     codes: dict[int, dfscode.Code] = dict(enumerate(((0, 1, *t),) for t in sorted(first)))
     seeds = spark.createDataFrame([(k, *c[0][2:]) for k, c in codes.items()] or [(0, 0, 0, 0)], "pattern int, src_label int, elabel int, dst_label int")
-    embeddings = extend.forward_roots(useful).join(seeds, ["src_label", "elabel", "dst_label"]).select("pattern", F.col("src").alias("v0"), F.col("dst").alias("v1"))
+    embeddings = extend.forward_roots(kept_arcs).join(seeds, ["src_label", "elabel", "dst_label"]).select("pattern", F.col("src").alias("v0"), F.col("dst").alias("v1"))
     level = 1
     while codes and (max_edges is None or level < max_edges):
         began = time.time()
         steps, children = [], {}
         for k, code in codes.items():
-            for i, j, _, e, b in dfscode.candidates(code, triples):
+            for i, j, _, e, b in dfscode.candidates(code, triples, simple):
                 children[len(children)] = (*code, (i, j, dfscode.labels(code)[i], e, b))
                 steps.append((k, len(children) - 1, i, j, e, b))
         if not steps:
             break
-        table = spark.createDataFrame(steps, "pattern int, child int, i int, j int, edge_label int, to_label int")
-        grown = materialise(extend.grow(embeddings, useful, table, any(i > j for _, _, i, j, _, _ in steps)), f"level-{level + 1}")
-        if embedding_budget is not None and (n := grown.count()) > embedding_budget:
+        table = small(spark.createDataFrame(steps, "pattern int, child int, i int, j int, edge_label int, to_label int"), len(steps))
+        spots = sorted({(k, i, dfscode.node_count(codes[k])) for k, _, i, *_ in steps})
+        positions = small(spark.createDataFrame(spots, "pattern int, i int, nodes int"), len(spots))
+        new = extend.grow(embeddings, useful, positions, table)
+        if embedding_budget is not None and extend.growth_bound(embeddings, useful, positions, table) > embedding_budget and (n := new.count()) > embedding_budget:
             raise MemoryError(f"level {level + 1} has {n} embeddings, more than {embedding_budget}; lower max_edges or raise minsup")
+        grown = materialise(new, f"level-{level + 1}")
         counted = {r.pattern: r.support for r in support.support(grown).where(F.col("support") >= minsup).collect()}
         codes = {k: children[k] for k in counted}
         out.patterns += [(children[k], n) for k, n in counted.items()]

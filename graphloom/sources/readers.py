@@ -26,15 +26,18 @@ def file_type(name: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """at (0, 1, ... in file order), f (fields) of a file's lines.
+    """at (0, 1, ... in file order), f (fields) of the lines of a file, or of a folder's files in the order of their part numbers and names.
 
-    Lines are numbered by their places in the scan's parts and the parts' line counts, so no task sees the whole file.
+    Spark scans files and their blocks in any order. So lines are numbered by file, block and place in the block, from the blocks' line
+    counts; no task sees a whole file.
     """
-    parts = spark.read.text(path).select(F.monotonically_increasing_id().alias("_id"), split_fields("value").alias("f")).cache()
-    counts = parts.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the scan
-    base = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return parts.join(base, F.shiftright("_id", 33) == F.col("_part")).select((F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("at"), "f")
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"), split_fields("value").alias("f"))
+    blocks = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number.asc_nulls_first(), "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of the scan
+    base = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return lines.join(base, ["_file", "_block"]).select((F.col("_base") + F.col("_id")).alias("at"), "f")
 
 
 def _pairs(first: int) -> F.Column:
@@ -58,8 +61,11 @@ def read_txt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_adj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A blank line is a vertex with label 0 if a vertex comes after it, and nothing at the end."""
     rows = numbered_lines(spark, path).where("at > 0").withColumn("vid", F.col("at") - 1)
-    vertices = rows.select("vid", F.coalesce(F.get("f", 0).cast("int") - 1, F.lit(0)).alias("label"))
+    last = rows.where("size(f) > 0").agg(F.max("vid")).first()[0]
+    rows = rows.where(F.col("vid") <= F.lit(-1 if last is None else last))
+    vertices = rows.select("vid", F.coalesce(F.get("f", 0).try_cast("int") - 1, F.lit(0)).alias("label"))
     edges = rows.select(F.col("vid").alias("src"), F.inline(_pairs(1))).select("src", (F.col("to") - 1).alias("dst"), (F.col("elabel") - 1).alias("elabel"))
     return vertices, clean_edges(edges)
 

@@ -1,5 +1,4 @@
 import itertools
-import random
 
 import pytest
 from hypothesis import given, settings
@@ -65,4 +64,21 @@ def test_rightmost_path_and_order():
     for bad in ("(0 1 2)", "B(0 1 0 0 1)", "x"):
         with pytest.raises(ValueError):
             d.parse_code(bad)
-    assert random
+
+
+@settings(max_examples=60, deadline=None)
+@given(graphs(), st.randoms())
+def test_growth_reaches_codes_with_parallel_edges(g, rng):
+    labels, edges = g
+    u, v, e = rng.choice(edges)
+    code = d.min_dfs_code(labels, [*edges, (u, v, 1 - e)])
+    triples = {(e[2], e[3], e[4]) for e in code} | {(e[4], e[3], e[2]) for e in code}
+    for k in range(1, len(code)):
+        assert code[k] in d.candidates(code[:k], triples, simple=False)
+
+
+def test_partial_equality():
+    a = (0, 1, 2, 3, 4)
+    assert all(d.partial_equal(a, b) and d.partial_equal(b, a) for b in (a, (0, 1, -1, 3, 4), (0, 1, 2, 3, -1), (0, 1, -1, 3, -1)))
+    assert not any(d.partial_equal(a, b) for b in ((0, 2, 2, 3, 4), (0, 1, 2, -1, 4), (0, 1, 1, 3, 4), (0, 1, -1, 3, 5)))
+    assert sorted([(0, 1, 1, 0, 0), (0, 1, 0, 9, 9)], key=d.edge_key)[0] == (0, 1, 0, 9, 9)

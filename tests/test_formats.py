@@ -3,7 +3,7 @@ import pytest
 from graphloom import cli
 from graphloom.sources import readers, writers
 
-from .test_miner import EDGES, LABELS, frames
+from .test_miner import EDGES, LABELS
 
 WANT = {(a, b, 0) for a, b in EDGES}
 
@@ -66,4 +66,38 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "p").write_text("0\n" * 4 + "1\n" * 4)
     assert cli.main(["convert", str(tmp_path / "g.adj"), str(tmp_path / "p"), f"{tmp_path}/parts"], spark) == 0
     assert writers.canonical_text([1, 0], [(0, 1, 3)]) == "(0 1 0 3 1)"
-    assert frames
+
+
+def test_many_part_files_of_rising_size(spark, tmp_path):
+    """Spark scans large files first; lines keep their order all the same."""
+    import random
+
+    rng = random.Random(3)
+    n = 400
+    labels = [i * i % 17 for i in range(n)]
+    edges = sorted({(min(a, b), max(a, b), (a + b) % 3) for a, b in ((rng.randrange(n), int(n * rng.random() ** 0.3)) for _ in range(3000)) if a != b and max(a, b) < n})
+    v = spark.createDataFrame([(i, x, i % 4) for i, x in enumerate(labels)], "vid long, label int, part_id int")
+    e = spark.createDataFrame(edges, "src long, dst long, elabel int")
+    want = (dict(enumerate(labels)), set(edges))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for kind, write in (("adj", writers.write_adj), ("txt", writers.write_txt)):
+            write(v, e, f"{tmp_path}/{kind}")
+            sizes = [f.stat().st_size for f in sorted((tmp_path / kind).glob("part-*"))]
+            assert len(sizes) >= 4 and len(set(sizes)) > 1
+            assert plain(*readers.read_graph(spark, kind, f"{tmp_path}/{kind}")) == want
+        v.orderBy("vid").select(v["part_id"].cast("string").alias("value")).write.text(f"{tmp_path}/parts")
+        v2, _ = readers.read_graph(spark, "adjp", f"{tmp_path}/adj", f"{tmp_path}/parts")
+        assert {r.vid: r.part_id for r in v2.collect()} == {i: i % 4 for i in range(n)}
+        files = writers.convert_to_partitions(spark, f"{tmp_path}/adj", f"{tmp_path}/parts", f"{tmp_path}/local")
+        assert len(files) == 4 and plain(*readers.read_graph(spark, "ladjp", f"{tmp_path}/local")) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_blank_lines_of_adj(spark, tmp_path):
+    (tmp_path / "g").write_text("4 1 011\n3 4 1\n\n2\n5 1 1\n\n\n")
+    v, e = readers.read_graph(spark, "adj", str(tmp_path / "g"))
+    assert plain(v, e) == ({0: 2, 1: 0, 2: 1, 3: 4}, {(0, 3, 0)})

@@ -30,7 +30,7 @@ def embeddings(labels, edges, code):
     return out
 
 
-def brute(labels, edges, minsup, max_edges):
+def brute(labels, edges, minsup, max_edges, simple=True):
     """Codes grown from every edge, counted by plain loops."""
     triples = {(labels[a], e, labels[b]) for u, v, e in edges if u != v for a, b in ((u, v), (v, u))}
     out, level = {}, [((0, 1, *t),) for t in triples if t[0] <= t[2]]
@@ -42,7 +42,7 @@ def brute(labels, edges, minsup, max_edges):
             if n >= minsup:
                 out[c] = n
                 kept.append(c)
-        level = [(*c, e) for c in kept if len(c) < max_edges for e in dfscode.candidates(c, triples)]
+        level = [(*c, e) for c in kept if len(c) < max_edges for e in dfscode.candidates(c, triples, simple)]
     return out
 
 
@@ -76,6 +76,46 @@ def test_random_graphs(spark, seed):
     assert extend.contains(graph.arcs(v, e), code) and not extend.contains(graph.arcs(v, e), ((0, 1, 7, 0, 7),))
 
 
+def test_parallel_edges(spark):
+    rng = random.Random(8)
+    labels = [rng.randint(0, 1) for _ in range(8)]
+    edges = sorted({(min(a, b), max(a, b), rng.randint(0, 1)) for a, b in ((rng.randrange(8), rng.randrange(8)) for _ in range(30)) if a != b})
+    assert len({e[:2] for e in edges}) < len(edges)
+    got = dict(mine(spark, *frames(spark, labels, edges), 2, max_edges=3, simple=False).patterns)
+    assert got == brute(labels, edges, 2, 3, simple=False)
+    assert set(dict(mine(spark, *frames(spark, labels, edges), 2, max_edges=3).patterns)) < set(got)
+
+
+def test_growth_plan_does_not_shuffle_the_arcs_again(spark):
+    from graphloom.operators import graph as graph_ops
+
+    v, e = frames(spark, LABELS, [(a, b, 0) for a, b in EDGES])
+    arcs = graph_ops.arcs(v, e)
+    useful = extend.by_src(arcs, 4).persist()
+    useful.count()
+    roots = extend.forward_roots(arcs).selectExpr("0 AS pattern", "src AS v0", "dst AS v1")
+    positions, steps = spark.createDataFrame([(0, 1, 2)], "pattern int, i int, nodes int"), spark.createDataFrame([(0, 0, 1, 2, 0, 0)], "pattern int, child int, i int, j int, edge_label int, to_label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from pyspark.sql import functions as F
+
+        plan = extend.grow(roots, useful, F.broadcast(positions), F.broadcast(steps))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        useful.unpersist()
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    at = next(k for k, x in enumerate(lines) if "InMemoryTableScan" in x)
+    above, now = [], depth(lines[at])
+    for x in reversed(lines[:at]):  # up to the join that the cached arcs enter
+        if depth(x) < now:
+            now = depth(x)
+            above.append(x.lstrip(" :+-*"))
+            if "Join" in x:
+                break
+    assert "Join" in above[-1] and not any(x.startswith("Exchange") for x in above)
+
+
 def test_metamorphic(spark):
     rng = random.Random(5)
     labels = [rng.randint(0, 1) for _ in range(12)]
