@@ -8,7 +8,7 @@ length of a text's vector is taken over the terms of the space.
 The index is inverted and block-max: examples lie in blocks of alike ones, and for each term and block the largest weight is known. For
 a query the blocks' upper bounds are added up first; the best blocks are scored in full, which gives the k-th cosine so far, and
 then every block whose bound reaches it. Blocks that are passed over can't hold a neighbour, so neighbours are exact. Lists of common
-terms are rows of a matrix, others are postings; queries are scored together.
+terms are rows of a matrix, whose products are exact for every example; bounds and postings are for the others. Queries are scored together.
 
 Votes are weighted by squared cosine, against the rate of examples without terms; a logistic curve, fitted on the examples' own
 scores with themselves left out, turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
@@ -38,7 +38,7 @@ from .textvec import Words, binary, mix, span_hashes, steps
 PER_LABEL = 1000
 NEIGHBOURS = 16
 BLOCK = 64
-_LONG, _MOST_LONG, _AT_ONCE, _SEEDS = 1 / 12, 1024, 64, 3  # share of the examples that makes a list long, long lists, queries together, blocks scored first
+_LONG, _MOST_LONG, _AT_ONCE, _SEEDS = 1 / 24, 2048, 64, 3  # share of the examples that makes a list long, long lists, queries together, blocks scored first
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -120,20 +120,19 @@ class Index:
         return self.__dict__ | {"vectors": None, "matrix": None}  # executors need the lists only
 
     def _split(self) -> None:
-        """Long lists as a matrix, by block, and their largest weights."""
+        """Long lists as a matrix."""
         size = np.diff(self.at)
         rows = np.argsort(-size, kind="stable")[:_MOST_LONG]
         rows = rows[size[rows] > _LONG * len(self.ids)]
         self.place = np.full(len(size), -1, np.int32)  # of a long list in the matrix
         self.place[rows] = np.arange(len(rows))
-        self.matrix = np.zeros((self.n_blocks, len(rows), BLOCK))
+        self.matrix = np.zeros((len(rows), self.n_blocks * BLOCK))
         for i, t in enumerate(rows):
             own = slice(self.at[t], self.at[t + 1])
-            self.matrix[self.example[own] // BLOCK, i, self.example[own] % BLOCK] = self.weight[own]
-        self.matrix_max = np.ascontiguousarray(self.matrix.max(axis=2).T)
+            self.matrix[i, self.example[own]] = self.weight[own]
 
     def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-        """Cosine of every query (terms and weights) with every example that may be among its k nearest; 0 for the others."""
+        """Cosine of every query (terms and weights) with every example that may be among its k nearest; less for the others."""
         if self.matrix is None:
             self._split()
         n, nb = len(queries), self.n_blocks
@@ -141,21 +140,20 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in queries)])
         weight = np.concatenate([np.zeros(0), *(w for _, w in queries)])
         place = self.place[term]
-        long = np.zeros((n, self.matrix.shape[1]))
+        long = np.zeros((n, len(self.matrix)))
         long[query[place >= 0], place[place >= 0]] = weight[place >= 0]
+        out = long @ self.matrix
         query, term, weight = query[place < 0], term[place < 0], weight[place < 0]
         size = self.entry_at[term + 1] - self.entry_at[term]
         entry = _spans(self.entry_at[term], size)  # of the short lists
         cell, weight = np.repeat(query * nb, size) + self.entry_block[entry], np.repeat(weight, size)
-        bound = np.bincount(cell, weights=weight * self.entry_max[entry], minlength=n * nb).reshape(n, nb) + long @ self.matrix_max
-        out = np.zeros((n, nb, BLOCK))
+        more = np.bincount(cell, weights=weight * self.entry_max[entry], minlength=n * nb).reshape(n, nb)
+        bound = out.reshape(n, nb, BLOCK).max(axis=2) + more
 
         def score(chosen: np.ndarray) -> None:
-            for b in np.flatnonzero(chosen.any(axis=0)):
-                own = np.flatnonzero(chosen[:, b])
-                out[own, b] = long[own] @ self.matrix[b]
             own = chosen.reshape(-1)[cell]
-            e, lo = entry[own], self.entry_lo[entry[own]]
+            e = entry[own]
+            lo = self.entry_lo[e]
             size = self.entry_lo[e + 1] - lo
             posting = _spans(lo, size)
             at = np.repeat(cell[own] // nb * (nb * BLOCK), size) + self.example[posting]
@@ -165,10 +163,11 @@ class Index:
         seeds = np.argpartition(-bound, min(_SEEDS, nb) - 1, axis=1)[:, :_SEEDS]
         np.put_along_axis(chosen, seeds, True, axis=1)
         score(chosen)
-        flat = out.reshape(n, -1)
-        least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n)
-        score((bound > 0) & (bound >= least[:, None] - 1e-9) & ~chosen)
-        return flat[:, : len(self.ids)]
+        full = np.where(np.repeat(chosen, BLOCK, axis=1), out, 0)
+        least = np.partition(full, -k, axis=1)[:, -k] if full.shape[1] > k else np.zeros(n)
+        rest = (bound >= least[:, None] - 1e-9) & ~chosen
+        score(rest)
+        return np.where(np.repeat(chosen | rest, BLOCK, axis=1), out, 0)[:, : len(self.ids)]
 
     def top(self, cosine: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine over 0 (ties to 12 digits: in index order) and their cosines."""
