@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Java and DuckDB pattern of a word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that a function of :func:`map_arrow` gets at once.
+PIECE_BYTES = 4 << 20
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -93,14 +95,22 @@ def ship(spark: SparkSession) -> None:
     context._graphloom_shipped = True
 
 
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about limit bytes, a row at least."""
+    for b in batches:
+        step = max(1, int(b.num_rows * limit / max(b.nbytes, 1)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the subpackage at hand on the executors.
+    """mapInArrow with the subpackage at hand on the executors, in small pieces.
 
-    Spark bounds a batch by rows and by bytes (64 MB); functions cut texts further with :func:`textvec.steps`. No setting of the
-    session is touched, so operators that are built first and run later keep their memory bounds.
+    Spark bounds a batch by rows and by bytes (64 MB); functions get it in slices, so what they make of it stays small, however long
+    the texts are. No setting of the session is touched: operators that are built first and run later keep their memory bounds.
     """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
 def n_partitions(spark: SparkSession) -> int:
