@@ -56,19 +56,34 @@ class Space:
 
     terms: np.ndarray
     idf: np.ndarray
-    low: np.ndarray = field(init=False)
+    first: np.ndarray | None = field(init=False, default=None)  # first term of each range of hashes
 
-    def __post_init__(self) -> None:
-        self.low = np.zeros(1 << 18, bool)
-        self.low[self.terms >> np.uint64(46)] = True
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"first": None}
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h of the hashes that are terms, and their numbers. Ranges are so short that a term is met at once, mostly."""
+        if self.first is None:
+            bits = max(10, min(22, len(self.terms).bit_length() + 2))
+            self.shift = np.uint64(64 - bits)
+            self.first = np.searchsorted(self.terms >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        part = (h >> self.shift).astype(np.int32)
+        at, end = self.first[part], self.first[part + 1]
+        left, found = np.flatnonzero(at < end), []
+        at, end, own = at[left], end[left], h[left]
+        while len(left):
+            hit = self.terms[at] == own
+            found.append((left[hit], at[hit]))
+            go = ~hit & (at + 1 < end)
+            left, at, end, own = left[go], at[go] + 1, end[go], own[go]
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
 
     def counts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term number and count, by row and term."""
         h, row = terms_of(raw, off)
-        maybe = np.flatnonzero(self.low[h >> np.uint64(46)])
-        place = np.minimum(np.searchsorted(self.terms, h[maybe]), max(len(self.terms) - 1, 0))
-        hit = self.terms[place] == h[maybe] if len(self.terms) else np.zeros(len(maybe), bool)
-        key, n = np.unique(row[maybe[hit]] * max(len(self.terms), 1) + place[hit], return_counts=True)
+        place, term = self.find(h)
+        key, n = np.unique(row[place] * max(len(self.terms), 1) + term, return_counts=True)
         return key // max(len(self.terms), 1), key % max(len(self.terms), 1), n
 
     def weights(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
