@@ -86,3 +86,19 @@ def growth_order(e: Column) -> Column:
     return F.struct(
         fwd.cast("int").alias("kind"), F.when(fwd, -e["i"]).otherwise(e["j"]).alias("place"), e["edge_label"].alias("edge_label"), F.when(fwd, e["to_label"]).otherwise(0).alias("to_label")
     )
+
+
+def edge_partial_equal(a: Column, b: Column) -> Column:
+    """Same ends and edge label, and vertex labels that agree where neither is left out (-1)."""
+    agree = lambda k: (a[k] == b[k]) | (a[k] == -1) | (b[k] == -1)
+    return (a["i"] == b["i"]) & (a["j"] == b["j"]) & (a["edge_label"] == b["edge_label"]) & agree("from_label") & agree("to_label")
+
+
+def edge_order(e: Column) -> Column:
+    """Sort key of the plain order of edges: ends, then labels."""
+    return F.struct(e["i"], e["j"], e["from_label"], e["edge_label"], e["to_label"])
+
+
+def code_order(code: Column) -> Column:
+    """Sort key of codes: shorter ones first, then edge by edge."""
+    return F.struct(F.size(code), code)

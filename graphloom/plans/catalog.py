@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dfscode, scalars
+from ..functions import dfscode, scalars, udfs
 from ..operators import extend, graph, partitioned, stars, support
 from ..sources import readers, writers
 from . import fixtures
@@ -77,29 +77,107 @@ def _patterns(spark: SparkSession, sf_dir: str, share: int, levels: int, only: i
     return spark.createDataFrame([(pattern_key(c), len(c), n) for c, n in _mined(spark, sf_dir, share, levels, only, name)], "pattern string, n_edges int, support long")
 
 
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_graphs"
+    return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def _with_labels(v: DataFrame, e: DataFrame) -> DataFrame:
+    part = F.col("part_id") if "part_id" in v.columns else (F.col("vid") % PARTS).cast("int")
+    ends = e.join(v.select(F.col("vid").alias("src"), F.col("label").alias("src_label"), part.alias("src_part")), "src")
+    return ends.join(v.select(F.col("vid").alias("dst"), F.col("label").alias("dst_label")), "dst").select("src", "dst", "elabel", "src_label", "dst_label", "src_part")
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str, path: str) -> dict:
+    """Writes the graph; adj and txt in several files. The reader's further arguments."""
+    v, e = fixtures.graph(spark, sf_dir, "skip", PARTS)
+    if kind == "ladjp":
+        writers.write_ladjp(v, e, path)
+    elif kind == "txt":
+        writers.write_txt(v, e, path)
+    else:
+        writers.write_adj(v, e, path)
+        if kind == "adjp":
+            v.orderBy("vid").select(F.col("part_id").cast("string").alias("value")).write.text(f"{path}-parts")
+            return {"partition_path": f"{path}-parts"}
+    return {}
+
+
 def _round_trip(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_graphs"
-        path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-        v, e = fixtures.graph(spark, sf_dir, "skip", PARTS)
-        extra = {}
-        if kind == "ladjp":
-            writers.write_ladjp(v, e, path)
-        elif kind == "txt":
-            writers.write_txt(v, e, path)
-        else:
-            writers.write_adj(v, e, path)
-            if kind == "adjp":
-                v.orderBy("vid").select(F.col("part_id").cast("string").alias("value")).write.text(f"{path}-parts")
-                extra = {"partition_path": f"{path}-parts"}
-        v2, e2 = readers.read_graph(spark, f"-{kind}", path, **extra)
-        part = F.col("part_id") if "part_id" in v2.columns else (F.col("vid") % PARTS).cast("int")
-        ends = e2.join(v2.select(F.col("vid").alias("src"), F.col("label").alias("src_label"), part.alias("src_part")), "src")
-        return ends.join(v2.select(F.col("vid").alias("dst"), F.col("label").alias("dst_label")), "dst").select("src", "dst", "elabel", "src_label", "dst_label", "src_part")
+        path = _folder(spark)
+        before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several part files, whatever the size
+        try:
+            extra = _written(spark, sf_dir, kind, path)
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        return _with_labels(*readers.read_graph(spark, f"-{kind}", path, **extra))
 
     return run
 
 
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A METIS graph and its partition file, converted to local files and read from these."""
+    path = _folder(spark)
+    extra = _written(spark, sf_dir, "adjp", path)
+    writers.convert_to_partitions(spark, path, extra["partition_path"], f"{path}-local")
+    return _with_labels(*readers.read_graph(spark, "ladjp", f"{path}-local"))
+
+
+def _sunk(with_support: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Lines of the pattern file."""
+        path = _folder(spark)
+        v, e = fixtures.graph(spark, sf_dir, "skip")
+        writers.FileSink(path, with_support).put(mine(spark, v, e, minsup(spark, sf_dir, 100), max_edges=2).frame(spark))
+        return spark.read.text(path).select(F.col("value").alias("line"))
+
+    return run
+
+
+def _paths_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths of two edges as pattern graphs, by the SQL function of the least code."""
+    a, b = _arcs(spark, sf_dir, "skip"), _arcs(spark, sf_dir, "skip")
+    b = b.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("elabel").alias("e1"), F.col("dst_label").alias("l2"))
+    kinds = a.join(b, F.col("dst") == F.col("mid")).where("src <> end").groupBy("src_label", "elabel", "dst_label", "e1", "l2").agg(F.count(F.lit(1)).alias("n"))
+    udfs.register(spark)
+    edges = "array(named_struct('u', 0, 'v', 1, 'label', elabel), named_struct('u', 1, 'v', 2, 'label', e1))"
+    return kinds.selectExpr(f"min_dfs_code(array(src_label, dst_label, l2), {edges}) AS code", "n").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _code_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined codes with their places in the order of codes, and of their first edges (a few hundred rows)."""
+    rows = spark.createDataFrame([(dfscode.format_code(c), dfscode.format_code(c, placeholders=False)) for c, _ in _mined(spark, sf_dir, 100, 2)], "code string, full string")
+    rows = rows.withColumn("edges", scalars.code_from_text(F.col("full")))
+    rank = lambda key: F.dense_rank().over(Window.orderBy(key))
+    return rows.select("code", rank(scalars.code_order(F.col("edges"))).alias("place"), rank(scalars.edge_order(F.col("edges")[0])).alias("first_edge_place"))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct fields of the events' properties, values and types."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat_ws(" ", F.regexp_replace("props", r"[{}:,\"]", " "), F.col("value").cast("decimal(18,2)").cast("string"), "event_type", (F.col("event_id") * 1000003).cast("string"))
+    return e.select(F.explode(scalars.split_fields(text)).alias("c")).distinct()
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, text = F.col("c"), lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    return _fields(spark, sf_dir).select(
+        "c", text(scalars.try_int(c)).alias("as_int"), text(scalars.try_long(c)).alias("as_long"), text(scalars.try_unsigned(c)).alias("as_unsigned"), F.coalesce(scalars.try_double(c), F.lit(-1.0)).alias("as_double"),
+        scalars.is_int(c).alias("int"), scalars.is_double(c).alias("double"), scalars.is_na(c).alias("na"), scalars.is_symbol(c).alias("symbol"),
+    )
+
+
+def _false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that the upper bound admits and the support doesn't, at a threshold just above the largest support that its bound exceeds."""
+    e, v = _level1(spark, sf_dir), fixtures.graph(spark, sf_dir, "skip", PARTS)[0]
+    both = support.bounds(e, v).join(support.support(e), "pattern")
+    n = (both.where("upper > support").agg(F.max("support")).first()[0] or 0) + 1
+    exact = both.where(F.col("support") >= n).select("pattern")
+    return both.where(F.col("upper") >= n).join(exact, "pattern", "left_anti").select("pattern", "upper")
+
+
 def _counted(df: DataFrame, *by: str, value: str = "dst") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("n_distinct"))
 
@@ -150,8 +228,18 @@ def queries() -> dict:
         "patterns_per_level": lambda s, d: _patterns(s, d, 250, 3).groupBy("n_edges").agg(F.count(F.lit(1)).alias("n_patterns")),
         "support_histogram": lambda s, d: _patterns(s, d, 250, 3).groupBy("support").agg(F.count(F.lit(1)).alias("n_patterns")),
         "counting_sink": lambda s, d: (lambda sink: (sink.put(_patterns(s, d, 100, 2)), s.range(1).select(F.lit(sink.count()).cast("long").alias("n_patterns")))[1])(writers.CountSink()),
-        "mined_codes": lambda s, d: s.createDataFrame([(dfscode.format_code(c), n) for c, n in _mined(s, d, 250, 3)], "code string, support long"),
-        "min_dfs_code_udf": lambda s, d: s.createDataFrame([(t, writers.canonical_text(*dfscode.to_graph(dfscode.parse_code(t)))) for t in TEXT_CODES], "code string, least string"),
+        "mined_codes": lambda s, d: s.createDataFrame([(dfscode.format_code(c), n) for c, n in _mined(s, d, 100, 2)], "code string, support long"),
+        "mined_codes_max3": lambda s, d: s.createDataFrame([(dfscode.format_code(c), n) for c, n in _mined(s, d, 250, 3)], "code string, support long"),
+        "min_dfs_code_udf": _paths_by_code,
+        "code_ranks": _code_ranks,
+        "edge_partial_equality": lambda s, d: (lambda a, b: a.crossJoin(F.broadcast(b)).where(scalars.edge_partial_equal(F.col("x"), F.col("y"))).select(F.col("k").alias("k"), F.col("m").alias("m")))(
+            *[_code_rows(s).select(F.posexplode("code").alias("p", c)).select(F.concat_ws(" ", *[F.col(f"{c}.{f}") for f in ("i", "j", "from_label", "edge_label", "to_label")]).alias(n), c).distinct() for c, n in (("x", "k"), ("y", "m"))]
+        ),
+        "file_sink_support": _sunk(True),
+        "file_sink_codes": _sunk(False),
+        "convert_partitions": _converted,
+        "field_parsing": _parsed,
+        "placement_hash": lambda s, d: fixtures.graph(s, d, "skip")[0].select(scalars.placement_hash(F.col("vid"), PARTS).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("p").between(0, PARTS - 1)).alias("in_range"), F.countDistinct("p").alias("n_parts")),
         "local_support_by_partition": lambda s, d: support.local_supports(path2(s, d), parts(s, d)[0]).select("part_id", "pos", "size"),
         "int_ext_supports": lambda s, d: support.local_supports(path2(s, d), parts(s, d)[0]).select("part_id", "pos", "internal", "external"),
         "upper_bound_support": lambda s, d: support.bounds(path2(s, d), parts(s, d)[0]).select("upper"),
@@ -160,7 +248,7 @@ def queries() -> dict:
         "possible_in_part": lambda s, d: support.possible_in_part(path2(s, d), parts(s, d)[0], BOUND, PARTS),
         "bounds_per_pattern": lambda s, d: support.decide(_level1(s, d), parts(s, d)[0], minsup(s, d, 15)),
         "possible_per_pattern": lambda s, d: support.possible_in_part(_level1(s, d), parts(s, d)[0], minsup(s, d, 15), PARTS),
-        "false_positives": lambda s, d: (lambda e, v, n: support.bounds(e, v).where(F.col("upper") >= n).join(support.support(e).where(F.col("support") >= n), "pattern", "left_anti").select("pattern", "upper"))(_level1(s, d), parts(s, d)[0], minsup(s, d, 15)),
+        "false_positives": _false_positives,
         "find_arcs": lambda s, d: graph.find_arcs(skip(s, d), fixtures.graph(s, d, "skip")[1].where("elabel = 1")),
         "contains_pattern": lambda s, d: s.createDataFrame([(k, extend.contains(skip(s, d), c)) for k, c in (("square", SQUARE), ("absent", ((0, 1, 99, 0, 99),)))], "pattern string, found boolean"),
         "has_ghosts": lambda s, d: s.createDataFrame([(partitioned.has_ghosts(*parts(s, d)),)], "found boolean"),
@@ -251,6 +339,15 @@ def oracle_sql() -> dict[str, str]:
     edge_rows = [(t, k, e) for t, c in zip(TEXT_CODES, SHAPES.values(), strict=True) for k, e in enumerate(dfscode.with_placeholders(c))]
     values = ", ".join(f"('{t}', {k}, {e[0]}, {e[1]}, {e[2]}, {e[3]}, {e[4]})" for t, k, e in edge_rows)
     table = f"(VALUES {values}) AS x(text, k, i, j, a, e, b)"
+    coded = g + """, p AS (SELECT a.src AS v0, a.dst AS v1, b.dst AS v2, a.src_label AS l0, a.elabel AS e0, a.dst_label AS l1, b.elabel AS e1, b.dst_label AS l2 FROM arcs a JOIN arcs b ON b.src = a.dst AND b.dst <> a.src),
+o AS (SELECT *, [l0, e0, l1, 0, e1, l2] AS fwd, [l1, e0, l0, 1, e1, l2] AS star, list_sort([[l0, e0, l1, 0, e1, l2], [l2, e1, l1, 0, e0, l0], [l1, e0, l0, 1, e1, l2], [l1, e1, l2, 1, e0, l0]])[1] AS m FROM p),
+t AS (SELECT *, '(0 1 ' || m[1] || ' ' || m[2] || ' ' || m[3] || ');(' || (1 - m[4]) || ' 2 -1 ' || m[5] || ' ' || m[6] || ')' AS code FROM o),
+c2 AS (SELECT code, any_value(m) AS m, least(count(DISTINCT CASE WHEN m[4] = 0 THEN v0 ELSE v1 END), count(DISTINCT CASE WHEN m[4] = 0 THEN v1 ELSE v0 END), count(DISTINCT v2)) AS support FROM t WHERE m = CASE WHEN m[4] = 0 THEN fwd ELSE star END GROUP BY code),
+c1 AS (SELECT '(0 1 ' || src_label || ' ' || elabel || ' ' || dst_label || ')' AS code, [src_label, elabel, dst_label] AS m, least(count(DISTINCT src), count(DISTINCT dst)) AS support FROM arcs WHERE src_label <= dst_label GROUP BY src_label, elabel, dst_label),
+kept AS (SELECT * FROM (SELECT code, m, support FROM c1 UNION ALL SELECT code, m, support FROM c2) WHERE support >= """ + share(100) + ")"
+    fields = r"SELECT DISTINCT c FROM (SELECT unnest(regexp_split_to_array(trim(concat_ws(' ', regexp_replace(props, '[{}:,\"]', ' ', 'g'), CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR), event_type, CAST(event_id * 1000003 AS VARCHAR))), '\s+')) AS c FROM events) WHERE c <> ''"
+    number = r"regexp_matches(c, '^[+-]?[0-9]+$')"
+    as_int = lambda kind, also="": f"coalesce(CAST(CASE WHEN {number}{also} THEN TRY_CAST(c AS {kind}) END AS VARCHAR), '-')"
     out = {
         "graph_vertices": skip("SELECT vid, label FROM vertices"),
         "graph_arcs": skip("SELECT * FROM arcs"),
@@ -276,6 +373,15 @@ def oracle_sql() -> dict[str, str]:
         "patterns_per_level": _mine_sql("skip", 250, 3) + "SELECT n_edges, count(*) AS n_patterns FROM frequent GROUP BY 1",
         "support_histogram": _mine_sql("skip", 250, 3) + "SELECT support, count(*) AS n_patterns FROM frequent GROUP BY 1",
         "counting_sink": _mine_sql("skip", 100, 2) + "SELECT count(*) AS n_patterns FROM frequent",
+        "mined_codes": coded + " SELECT code, support FROM kept",
+        "min_dfs_code_udf": coded + " SELECT code, count(*) AS n FROM t GROUP BY code",
+        "code_ranks": coded + ", e AS (SELECT *, [0, 1, m[1], m[2], m[3]] AS e1, CASE WHEN len(m) = 3 THEN [] WHEN m[4] = 0 THEN [1, 2, m[3], m[5], m[6]] ELSE [0, 2, m[1], m[5], m[6]] END AS e2 FROM kept) SELECT code, CAST(dense_rank() OVER (ORDER BY len(m), list_concat(e1, e2)) AS INT) AS place, CAST(dense_rank() OVER (ORDER BY e1) AS INT) AS first_edge_place FROM e",
+        "edge_partial_equality": f", z AS (SELECT DISTINCT i, j, a, e, b FROM {table}) SELECT concat_ws(' ', x.i, x.j, x.a, x.e, x.b) AS k, concat_ws(' ', y.i, y.j, y.a, y.e, y.b) AS m FROM z x JOIN z y ON x.i = y.i AND x.j = y.j AND x.e = y.e AND (x.a = y.a OR x.a = -1 OR y.a = -1) AND (x.b = y.b OR x.b = -1 OR y.b = -1)".replace(", z AS", "WITH z AS", 1),
+        "file_sink_support": coded + " SELECT code || ':' || support AS line FROM kept",
+        "file_sink_codes": coded + " SELECT code AS line FROM kept",
+        "convert_partitions": skip("SELECT h.*, v.part_id AS src_part FROM half h JOIN vertices v ON h.src = v.vid"),
+        "field_parsing": f"SELECT c, {as_int('INT')} AS as_int, {as_int('BIGINT')} AS as_long, {as_int('BIGINT', ' AND TRY_CAST(c AS BIGINT) >= 0')} AS as_unsigned, coalesce(TRY_CAST(c AS DOUBLE), -1.0::DOUBLE) AS as_double, {number} AND TRY_CAST(c AS INT) IS NOT NULL AS int, TRY_CAST(c AS DOUBLE) IS NOT NULL AS double, c IN ('NA', 'na', 'N/A', 'n/a') AS na, regexp_matches(c, '^[A-Za-z_][A-Za-z0-9_]*$') AS symbol FROM ({fields})",
+        "placement_hash": skip(f"SELECT count(*) AS n, true AS in_range, {PARTS}::BIGINT AS n_parts FROM vertices"),
         "local_support_by_partition": skip(local + " SELECT part_id, pos, count(*) AS size FROM loc GROUP BY 1, 2"),
         "int_ext_supports": skip(local + " SELECT part_id, pos, count(*) FILTER (own) AS internal, count(*) FILTER (NOT own) AS external FROM loc GROUP BY 1, 2"),
         "upper_bound_support": skip(sums + f" SELECT {upper} AS upper"),
@@ -284,7 +390,7 @@ def oracle_sql() -> dict[str, str]:
         "possible_in_part": skip(local + f" SELECT max(n) AS largest FROM (SELECT part_id, max(n) AS n FROM (SELECT part_id, pos, count(*) AS n FROM loc GROUP BY 1, 2) GROUP BY 1) WHERE n >= {BOUND // PARTS}"),
         "bounds_per_pattern": skip(one_by + f" SELECT pattern, lower, upper, support, CASE WHEN lower >= {bar} THEN 'frequent' WHEN upper < {bar} THEN 'infrequent' ELSE 'counted' END AS verdict FROM b1 JOIN s1 USING (pattern)"),
         "possible_per_pattern": skip(one_by + f" SELECT pattern, max(n) AS largest FROM (SELECT pattern, part_id, max(n) AS n FROM c1 GROUP BY 1, 2) WHERE n >= {bar} // {PARTS} GROUP BY 1"),
-        "false_positives": skip(one_by + f" SELECT pattern, upper FROM b1 JOIN s1 USING (pattern) WHERE upper >= {bar} AND support < {bar}"),
+        "false_positives": skip(one_by + " SELECT pattern, upper FROM b1 JOIN s1 USING (pattern) WHERE support <= (SELECT max(support) FROM b1 JOIN s1 USING (pattern) WHERE upper > support) AND upper > (SELECT max(support) FROM b1 JOIN s1 USING (pattern) WHERE upper > support)"),
         "find_arcs": skip("SELECT a.* FROM arcs a WHERE EXISTS (SELECT 1 FROM raw_edges e WHERE e.elabel = 1 AND e.src = a.src AND e.dst = a.dst)"),
         "contains_pattern": skip(f"SELECT 'square' AS pattern, EXISTS ({match_sql(SQUARE)}) AS found UNION ALL SELECT 'absent', false"),
         "has_ghosts": skip("SELECT EXISTS (SELECT 1 FROM arcs WHERE src % 4 <> dst % 4) AS found"),

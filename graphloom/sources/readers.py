@@ -52,7 +52,7 @@ def read_txt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     starts = [r.at for r in rows.where(F.get("f", 0) == "t").orderBy("at").limit(2).collect()]
     if len(starts) > 1:
         rows = rows.where(F.col("at") < starts[1])
-    f = lambda k, kind: F.get("f", k).cast(kind)
+    f = lambda k, kind: F.get("f", k).try_cast(kind)
     vertices = rows.where((F.get("f", 0) == "v") & (F.size("f") >= 3)).select(f(1, "long").alias("vid"), f(2, "int").alias("label"))
     edges = rows.where((F.get("f", 0) == "e") & (F.size("f") >= 4)).select(f(1, "long").alias("src"), f(2, "long").alias("dst"), f(3, "int").alias("elabel"))
     if bad := invalid_arcs(vertices, edges).limit(1).collect():

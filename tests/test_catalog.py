@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("graph_arcs", "l1_trade", "l1_dialog", "rmpath_forward_ext", "backward_ext", "mni_square", "mine_max3_flagship", "mine_geo_max2", "exact_vs_bounds", "ladjp_rows", "round_trip_adjp", "code_order", "scalar_parsing")
+NAMES = ("graph_arcs", "l1_trade", "l1_dialog", "rmpath_forward_ext", "backward_ext", "mni_square", "mine_max3_flagship", "mine_geo_max2", "exact_vs_bounds", "ladjp_rows", "round_trip_adjp", "code_order", "scalar_parsing", "mined_codes", "min_dfs_code_udf", "code_ranks", "edge_partial_equality", "file_sink_support", "convert_partitions", "field_parsing", "false_positives", "round_trip_adj", "edge_ids")
 
 
 @pytest.fixture(scope="module")

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -164,3 +165,16 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")
     mine_stream(stream, v, f"{tmp_path}/store", f"{tmp_path}/cp", 2, 2, lambda k, m: got.update({k: len(m.patterns)})).awaitTermination(120)
     assert list(got.values())[-1] == 8
+
+
+@pytest.mark.skipif(not os.path.isdir(os.environ.get("LADJP_GOLDEN", "")), reason="LADJP_GOLDEN names no folder of local partition files")
+def test_golden_counts(spark):
+    """20,226 vertices, 83,356 edges; patterns of one, two and three edges at minsup 200."""
+    from graphloom.plans.miner import single_edge_codes
+    from graphloom.sources.readers import read_ladjp
+
+    v, e = read_ladjp(spark, os.environ["LADJP_GOLDEN"])
+    assert (v.count(), e.count()) == (20226, 83356)
+    assert single_edge_codes(graph.arcs(v, e)).count() == 227
+    n = Counter(len(c) for c, _ in mine(spark, v, e, 200, max_edges=3).patterns)
+    assert [n[1], n[2], n[3]] == [142, 345, 335]
