@@ -9,8 +9,9 @@ its bound continue clockwise to the next shard with room.
 Only the counts of the ring's cells, as many for any input, reach the driver, which walks the ring and hands back for each
 cell which ranks go to which shard. Rows are ranked within their cell. Slots count the rows of a shard in key order.
 
-Null texts count as empty, null doc_ids are a key like any other. Equal rows get different slots and may lie in different
-shards. Other columns are ignored by :func:`assign`. An empty table gives no rows.
+Null texts count as empty, null doc_ids are a key like any other. The law ``rows`` goes before groups: equal rows and rows with equal texts
+get slots of their own and may lie in different shards. Other columns are ignored by :func:`assign` and kept by :func:`add_shards`,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,15 +96,25 @@ def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumn("cell", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 2))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot of every row, and the columns keep (not named as these)."""
-    rows = keyed(docs, list(keep)) if keep else scratch(keyed(docs, []), "shard-rows")
+def _placed(docs: DataFrame, shards: int, virtual: int, slack: float, keep: list[str]) -> DataFrame:
+    rows = keyed(docs, keep) if keep else scratch(keyed(docs, []), "shard-rows")
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # CELLS rows at most
     table = docs.sparkSession.createDataFrame(walk(counts, shards, virtual, slack), "_cell int, _lo long, _hi long, shard int, _slot long")
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "doc_id", "size", "text_crc32")) - 1
     ranked = rows.withColumn("_rank", rank)
     placed = ranked.join(F.broadcast(table), (F.col("cell") == F.col("_cell")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return placed.select("doc_id", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "size", "text_crc32", "key", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    return placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack: float = 0.0) -> DataFrame:
+    """doc_id, size, text_crc32, key, shard, slot of every row."""
+    return _placed(docs, shards, virtual, slack, []).select(*COLUMNS)
+
+
+def add_shards(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack: float = 0.0) -> DataFrame:
+    """Rows of docs, all columns, with shard and slot (in the place of columns of these names)."""
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return _placed(docs, shards, virtual, slack, keep).select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "shard", "slot")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

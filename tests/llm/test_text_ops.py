@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, langid, quality, rans, tokenfiles, tokens, toxicity
+from graphloom.llm import chat, decontaminate, langid, quality, rans, textvec, tokenfiles, tokens, toxicity
 from graphloom.llm.textvec import binary
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,60 @@ def test_language_of_held_out_rows(spark):
     assert langid.drop_unknown(docs, langid.fit(docs)).count() == docs.count()
 
 
+def plain_language(rows):
+    """Filters as sets, counts by loops: doc_id to language and score."""
+    learn = [(t or "", x) for d, t, x in rows if d is not None and x is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    langs = sorted({x for _, x in learn})
+    drawn, df = {x: sum(y == x for _, y in learn) for x in langs}, {}
+    for t, x in learn:
+        for g in set(grams(t)):
+            df.setdefault(g, dict.fromkeys(langs, 0))[x] += 1
+    own = {x: [] for x in langs}
+    for g, by in df.items():
+        best = max(by[x] / drawn[x] for x in langs)
+        for x in langs:
+            if by[x] >= 2 and by[x] / drawn[x] >= 0.25 * best:
+                own[x].append(g)
+    size = 1 << min(max(int(np.ceil(np.log2(16 * max(map(len, own.values()))))), 12), 22)
+
+    def slots(g):
+        h = len(g)
+        for c in g:
+            h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+        h = int(textvec.mix(np.array([h], np.uint64))[0])
+        return [(h >> 20 * k) % size for k in range(3)]
+
+    filled = {x: {s for g in own[x] for s in slots(g)} for x in langs}
+    wrong = {x: min((len(filled[x]) / size) ** 3, 0.99) for x in langs}
+    default, out = max(langs, key=lambda x: (drawn[x], [-ord(c) for c in x])), {}
+    for d, t, _ in rows:
+        found = [slots(g) for g in grams(t or "")]
+        if not found:
+            out[d] = ("und", 0)
+            continue
+        c = {x: max(sum(all(s in filled[x] for s in g) for g in found) - len(found) * wrong[x], 0) / (1 - wrong[x]) for x in langs}
+        top = max(langs, key=lambda x: (c[x], [-ord(k) for k in x])) if max(c.values()) else default
+        out[d] = (top, c[top] / max(sum(c.values()), 1e-12))
+    return out
+
+
+def test_language_against_plain_sets(spark):
+    docs = read(spark, "documents").where("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 900).alias("text"), "lang")
+    rows = [tuple(r) for r in docs.collect()] + [(5001, None, "en"), (5003, "12 34", "de"), (5005, "Zzyzx qqq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_language(rows)
+    got = langid.identify(docs, langid.fit(docs)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {d: x for d, (x, _) in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-9 for r in got)
+
+
+def test_unknown_language_goes(spark):
+    docs = read(spark, "documents")
+    more = spark.createDataFrame([(9001, "xqzvk wqjxz vvkqq zzxqj kkqxw " * 20), (9002, "12 34 !!"), (9003, None)], "doc_id long, text string")
+    every = docs.unionByName(more, allowMissingColumns=True)
+    assert {r.doc_id for r in langid.drop_unknown(every, langid.fit(docs)).collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_language_odd_rows(spark, odd, none):
     docs = read(spark, "documents")
     filters = langid.fit(docs)
@@ -225,6 +280,13 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.examples(df.where("1 = 0"))).count() == 0
 
 
+def test_chat_ignores_other_columns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df.withColumns({x: F.lit(9) for x in ("turns", "example", "last", "formatted", "n_turns", "loss", "body", "head")})
+    assert chat.digests(chat.examples(clash)).collect() == chat.digests(chat.examples(df)).collect()
+
+
 # --- tokens
 
 
