@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot (which replace columns of these names)."""
-    return sharding.assign(docs, keep=tuple(c for c in docs.columns if c not in sharding.COLUMNS))
+    """Every row, all columns, with its shard and slot (in the place of columns of these names)."""
+    return sharding.add_shards(docs)
 
 
 STAGES = [
@@ -41,7 +41,8 @@ STAGES = [
     ("ring_sharding", sharded),
 ]
 
-#: SimHash components and fitted language filters have no SQL form; tests/llm/test_pipeline.py compares with plain Python.
+#: SimHash components and fitted language filters have no SQL form; tests/llm/test_corpus_ops.py (test_pipeline)
+#: compares every stage with plain Python.
 ORACLE_SQL = None
 
 
