@@ -36,18 +36,21 @@ class Mined:
         return spark.createDataFrame(rows, "code string, n_edges int, n_vertices int, support long")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset (tests), one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_levels").rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder; where none is set (tests), a reliable-enough local one: kept in memory and on disk."""
-    root = shared_folder(df.sparkSession)
-    if not root:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table in the shared folder, and its path: lineage is cut and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def single_edge_codes(arcs: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def mine(
     codes: dict[int, dfscode.Code] = dict(enumerate(((0, 1, *t),) for t in sorted(first)))
     seeds = spark.createDataFrame([(k, *c[0][2:]) for k, c in codes.items()] or [(0, 0, 0, 0)], "pattern int, src_label int, elabel int, dst_label int")
     embeddings = extend.forward_roots(kept_arcs).join(seeds, ["src_label", "elabel", "dst_label"]).select("pattern", F.col("src").alias("v0"), F.col("dst").alias("v1"))
-    level = 1
+    level, written = 1, ""
     while codes and (max_edges is None or level < max_edges):
         began = time.time()
         steps, children = [], {}
@@ -110,7 +113,10 @@ def mine(
         new = extend.grow(embeddings, useful, positions, table)
         if embedding_budget is not None and extend.growth_bound(embeddings, useful, positions, table) > embedding_budget and (n := new.count()) > embedding_budget:
             raise MemoryError(f"level {level + 1} has {n} embeddings, more than {embedding_budget}; lower max_edges or raise minsup")
-        grown = materialise(new, f"level-{level + 1}")
+        grown, path = materialise(new, f"level-{level + 1}")
+        if written:
+            delete(spark, written)  # the level before
+        written = path
         counted = {r.pattern: r.support for r in support.support(grown).where(F.col("support") >= minsup).collect()}
         codes = {k: children[k] for k in counted}
         out.patterns += [(children[k], n) for k, n in counted.items()]
@@ -119,6 +125,8 @@ def mine(
         log.info("level %s", out.levels[-1])
         kept = spark.createDataFrame([(k,) for k in codes] or [(-1,)], "pattern int")
         embeddings = grown.join(kept, "pattern", "left_semi")
+    if written:
+        delete(spark, written)
     useful.unpersist()
     arcs.unpersist()
     return out
