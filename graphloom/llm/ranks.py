@@ -28,8 +28,9 @@ def prefix_sums(rows: DataFrame, group: str, bucket: str, order: list, value: st
     """
     totals = rows.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
     if n_buckets > 4 * _FAN:
-        coarse = totals.withColumn("_coarse", F.floor(F.col(bucket) / _FAN).cast("long"))
-        based = prefix_sums(coarse, group, "_coarse", [bucket], "_sum", n_buckets // _FAN + 1, "_base")
+        wider = f"{bucket}_"  # the bucket itself stays, however often buckets are made coarser
+        coarse = totals.withColumn(wider, F.floor(F.col(bucket) / _FAN).cast("long"))
+        based = prefix_sums(coarse, group, wider, [bucket], "_sum", n_buckets // _FAN + 1, "_base")
     else:
         before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         based = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
@@ -37,4 +38,4 @@ def prefix_sums(rows: DataFrame, group: str, bucket: str, order: list, value: st
     own = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
     joined = inner.join(based, F.col(group).eqNullSafe(F.col("_g")) & (F.col(bucket) == F.col("_b")))
-    return joined.withColumn(into, F.col("_base") + F.col("_own")).drop("_g", "_b", "_base", "_own")
+    return joined.select(*rows.columns, (F.col("_base") + F.col("_own")).alias(into))  # in coarser buckets, into is _base itself

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import linededup, mixing, sharding, simhash
+from graphloom.llm import linededup, mixing, ranks, sharding, simhash
 from graphloom.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -251,3 +251,21 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
 def test_keep_first_of_repeated_rows(odd):
     kept = [r.doc_id for r in simhash.keep_first(odd).collect()]
     assert kept.count(8) == 1 and 1 in kept and 2 not in kept and 3 in kept and 4 not in kept
+
+
+def test_sums_of_sources_with_very_many_buckets(spark, monkeypatch):
+    """Buckets' totals are summed in coarser buckets, twice over; the mix stays the same."""
+    rows = [(f"s{i % 2}" if i % 5 else None, i // 2, i, i % 7) for i in range(3000)]
+    plain, sums = {}, Counter()
+    for g, _, k, v in rows:
+        plain[k] = sums[g]
+        sums[g] += v
+    mixed = mixing.mix(docs_of(spark)).collect()
+    monkeypatch.setattr(ranks, "_FAN", 8)
+    table = spark.createDataFrame(rows, "g string, b long, k long, v long")
+    got = ranks.prefix_sums(table, "g", "b", ["k"], "v", 1500, "before")
+    assert got.columns == ["g", "b", "k", "v", "before"]
+    assert {r.k: r.before for r in got.collect()} == plain
+    monkeypatch.setattr(ranks, "_FAN", 2)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    assert Counter(map(str, mixed)) == Counter(map(str, mixing.mix(docs_of(spark)).collect()))
