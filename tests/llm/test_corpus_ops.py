@@ -269,3 +269,18 @@ def test_sums_of_sources_with_very_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(ranks, "_FAN", 2)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
     assert Counter(map(str, mixed)) == Counter(map(str, mixing.mix(docs_of(spark)).collect()))
+
+
+def test_lines_without_python_and_words_written_once(spark, monkeypatch):
+    """No step of the line dedup runs Python; of all lines, only those of the classes' table are written with their words."""
+    plans, real = {}, linededup.scratch
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(linededup, "scratch", spy)
+    out = linededup.removed_lines(spark.createDataFrame([(i, f"a b c d e f g h i{i % 2} j\nx{i} y") for i in range(4)], "doc_id long, text string"))
+    plans["last"] = out._jdf.queryExecution().toString()
+    assert "lines-entries" in plans and "lines" not in plans
+    assert not [k for k, x in plans.items() if "InArrow" in x or "InPandas" in x or "PythonUDF" in x]
