@@ -10,8 +10,11 @@ a query the blocks' upper bounds are added up first; the best blocks are scored
 then every block whose bound reaches it. Blocks that are passed over can't hold a neighbour, so neighbours are exact. Lists of common
 terms are rows of a matrix, whose products are exact for every example; bounds and postings are for the others. Queries are scored together.
 
-Votes are weighted by squared cosine, against the rate of examples without terms; a logistic curve, fitted on the examples' own
-scores with themselves left out, turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
+A neighbour's vote weighs the square of its cosine, of which each shared term's part counts as far as the term tells labels apart: the
+log ratio of the shares of both labels' examples that have it, less two standard errors, and a little in any case. So a few
+words that mark a label outweigh all those that alike texts of any label share. Votes are held against the rate of examples
+without terms; a logistic curve, fitted on the examples' own scores with themselves left out (of neighbours and of terms' counts),
+turns votes into probabilities. Neighbours' doc_ids and cosines are the evidence.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0. The examples are a bounded sample of them: about
 ``per_label`` rows of each label, dealt by a hash of doc_id, and weighted by what each stands for. Null labels and doc_ids
@@ -39,6 +42,8 @@ from .textvec import Words, binary, mix, span_hashes, steps
 PER_LABEL = 500
 NEIGHBOURS = 16
 BLOCK = 64
+#: Of a vote: what a term that tells nothing counts, standard errors taken off, weight of the prior. Chosen as PER_LABEL.
+_ANY, _ERRORS, _PRIOR = 0.01, 2.0, 1e-3
 _LONG, _MOST_LONG, _AT_ONCE, _SEEDS = 1 / 24, 2048, 64, 3  # share of the examples that makes a list long, long lists, queries together, blocks scored first
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -106,17 +111,25 @@ class Index:
         self.labels, self.mass = labels[order].astype(float), mass[order].astype(float)
         self.vectors = [vectors[i] for i in order]
         term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in self.vectors)])
+        weight, by = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)]), np.repeat(np.arange(len(order)), [len(t) for t, _ in self.vectors])
+        self.have = np.array([np.bincount(term[self.labels[by] == y], minlength=len(space.terms)) for y in (0, 1)], np.int32)  # examples of each label with a term
+        self.of = np.array([(self.labels == y).sum() for y in (0, 1)])
+        every = np.arange(len(space.terms))
+        self.tells = self.telling(every)
+        may = np.maximum.reduce([self.tells, *(self.telling(every, without=y) for y in (0, 1))]) > 0
+        own = np.flatnonzero(may[term])  # of the examples' vectors, the terms that tell, with or without one example
+        self.own_term, self.own_weight, self.own_at = term[own], weight[own], np.searchsorted(by[own], np.arange(len(order) + 1))
         by_term = np.argsort(term, kind="stable")
         self.at = np.searchsorted(term[by_term], np.arange(len(space.terms) + 1))
         self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.vectors])[by_term]
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[by_term]
+        self.weight = weight[by_term]
         self.n_blocks = max(1, -(-len(order) // BLOCK))
         owner, block = term[by_term], self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])[: len(owner)])
         self.entry_at = np.searchsorted(owner[first], np.arange(len(space.terms) + 1))  # a term's entries: one for each block it is in
         self.entry_block, self.entry_lo = block[first], np.append(first, len(owner))
         self.entry_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.matrix = None
+        self.matrix = self.cell = None
         total = mass.sum()
         self.rate = float((mass * labels).sum() / total) if total else 0.0
         empty = np.array([not len(t) for t, _ in vectors], bool)
@@ -133,7 +146,7 @@ class Index:
         return sorted(order, key=key)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": None, "matrix": None}  # executors need the lists only
+        return self.__dict__ | {"vectors": None, "matrix": None, "cell": None}  # executors need the lists only
 
     def _split(self) -> None:
         """Long lists as a matrix."""
@@ -198,16 +211,34 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.top(self.cosines([(term, weight)], k + 1)[0], k, skip)
 
-    def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine**2 * self.mass[ids]
-        prior = 0.05 * self.usual
+    def telling(self, term: np.ndarray, without: int = -1) -> np.ndarray:
+        """How far terms tell labels apart, by all examples or all but one, of label without, that has the terms."""
+        have, of = self.have[:, term] + 0.5, self.of + 1.0
+        if without >= 0:
+            have[without] = np.maximum(have[without] - 1, 0.5)
+            of[without] -= 1
+        ratio = np.log(have[1] / of[1]) - np.log(have[0] / of[0])
+        return np.maximum(np.abs(ratio) - _ERRORS * np.sqrt((1 / have).sum(axis=0)), 0)
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, cosine: np.ndarray, skip: int = -1) -> float:
+        """Share of label 1 among the neighbours ids of a text (terms and weights)."""
+        if self.cell is None:
+            self.cell = np.zeros(len(self.space.terms))  # of a term: its weight in the text as far as it tells
+        self.cell[term] = weight * (self.tells[term] if skip < 0 else self.telling(term, int(self.labels[skip])))
+        size = self.own_at[ids + 1] - self.own_at[ids]
+        at = _spans(self.own_at[ids], size)
+        told = np.bincount(np.repeat(np.arange(len(ids)), size), weights=self.cell[self.own_term[at]] * self.own_weight[at], minlength=len(ids))
+        self.cell[term] = 0
+        w = (told + _ANY * cosine) ** 2 * self.mass[ids]
+        prior = _PRIOR * self.usual
         return float(((w * self.labels[ids]).sum() + prior * self.none) / (w.sum() + prior))
 
     def calibrate(self, k: int, none: list[tuple[float, float]]) -> None:
         """Logistic curve from votes to labels; none: label and mass of examples without terms."""
         x = []
         for lo in range(0, len(self.vectors), _AT_ONCE):
-            x += [self.vote(*self.top(c, k, skip=lo + i)) for i, c in enumerate(self.cosines(self.vectors[lo : lo + _AT_ONCE], k + 1))]
+            some = self.vectors[lo : lo + _AT_ONCE]
+            x += [self.vote(*v, *self.top(c, k, skip=i), skip=i) for i, (v, c) in enumerate(zip(some, self.cosines(some, k + 1), strict=True), lo)]
         x += [self.none] * len(none)
         y = np.array([*self.labels, *(a for a, _ in none)])
         m = np.array([*self.mass, *(b for _, b in none)])
@@ -337,11 +368,11 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
                 spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 for at in range(0, len(spans), _AT_ONCE):
                     some = spans[at : at + _AT_ONCE]
-                    found = ix.cosines([(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float))) for x, y in some], k)
-                    for (x, _), c in zip(some, found, strict=True):
+                    texts = [(term[x:y], ix.space.weights(term[x:y], n[x:y].astype(float))) for x, y in some]
+                    for (x, _), text, c in zip(some, texts, ix.cosines(texts, k), strict=True):
                         i = lo + int(row[x])
                         ids, cosine = ix.top(c, k)
-                        out[i] = ix.score(ix.vote(ids, cosine))
+                        out[i] = ix.score(ix.vote(*text, ids, cosine))
                         near[i], cosines[i] = [ix.ids[j] for j in ids], cosine.tolist()
             yield pa.record_batch([b.column(0), pa.array(out), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "neighbours", "cosines"])
 

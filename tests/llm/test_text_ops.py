@@ -1,9 +1,11 @@
 """Operators on single texts against plain Python: language filters, decontamination, quality, chat, tokens, toxicity."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -449,3 +451,44 @@ def test_toxicity_finds_words_that_do_not_depend_on_labels(spark):
     for i in range(60):
         if zlib.crc32(str(i).encode()) % 5:
             assert got[1000 + i] == [i]
+
+
+def test_toxicity_votes_by_words_that_tell(spark):
+    """Long texts differ in one word: votes of alike texts must not drown it. Scores against plain sums over shared terms."""
+    rng = np.random.default_rng(5)
+    words = [f"{rng.integers(1 << 30):x}q" for _ in range(3000)]
+    rows = []
+    for i in range(900):
+        own = rng.choice(words[:60] * 50 + words, 200).tolist()  # 60 words are in most texts
+        rows.append((i, " ".join(own + ["vile", "vile"] * (i % 8 == 0)), int(i % 8 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    held = [(got[i].score, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    worst = np.quantile([s for s, y in held if not y], 0.9)
+    assert np.mean([s > worst for s, y in held if y]) > 0.95
+
+    texts = {i: plain_terms(t) for i, t, _ in rows}
+    label = {i: rows[i][2] for i in index.ids}
+    df = Counter(t for own in texts.values() for t in own)
+    have = [Counter(t for i, y in label.items() if y == own for t in texts[i]) for own in (0, 1)]
+    of = [sum(y == own for y in label.values()) for own in (0, 1)]
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * math.log(1 + len(rows) / df[t]) for t, n in texts[i].items() if have[0][t] + have[1][t]}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    def tells(t):
+        a, b = have[1][t] + 0.5, have[0][t] + 0.5
+        return max(0, abs(math.log(a / (of[1] + 1) / b * (of[0] + 1))) - 2 * math.sqrt(1 / a + 1 / b))
+
+    mass = dict(zip(index.ids, index.mass.tolist(), strict=True))
+    for i in range(0, 900, 45):
+        query, up, down = vector(i), 1e-3 * index.usual * index.none, 1e-3 * index.usual
+        for j in got[i].neighbours:
+            other = vector(j)
+            w = sum(x * other[t] * (tells(t) + 0.01) for t, x in query.items() if t in other) ** 2 * mass[j]
+            up, down = up + w * label[j], down + w
+        assert np.isclose(got[i].score, index.score(up / down))
