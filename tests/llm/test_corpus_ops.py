@@ -284,3 +284,23 @@ def test_lines_without_python_and_words_written_once(spark, monkeypatch):
     plans["last"] = out._jdf.queryExecution().toString()
     assert "lines-entries" in plans and "lines" not in plans
     assert not [k for k, x in plans.items() if "InArrow" in x or "InPandas" in x or "PythonUDF" in x]
+
+
+def test_lines_of_tokens_that_few_classes_have(spark, monkeypatch):
+    """Tokens of few classes give their pairs at once, without leaders; the rows are the same with all tokens or none taken as such."""
+    rows = [(i, "\n".join(" ".join(f"w{i // 3}x{k}" for k in range(30)) + f" end{i} {j}" for j in range(2)) + f"\nu{i} v{i} w{i} x{i} y{i} z{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, real = {}, linededup.scratch
+
+    def spy(df, name):
+        out = real(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "scratch", spy)
+    monkeypatch.setattr(linededup, "CROWDED", 10**9)
+    for few in (16, 1, 10**9):
+        monkeypatch.setattr(linededup, "FEW", few)
+        counts.clear()
+        assert sorted((str(r.doc_id), r.line, r.removed) for r in linededup.removed_lines(docs).collect()) == plain_lines(rows)
+        assert counts["lines-entries"] > 0 and (counts["lines-leaders"] == 0) == (few > 1)
